@@ -32,11 +32,11 @@ from tidewright.llm._common import Forest, components, cut, grouped
 from tidewright.llm.linededup import NO_ID
 
 WORD = re.compile(r"\w+")
-RATE, LEVELS = 3.0, 4
+RATE, LEVELS = 3.0, 3
 #: A bucket over LIMIT members is split, unless its mean similarity is ALIKE or more.
-LIMIT, ALIKE = 1024, 0.4
+LIMIT, ALIKE = 8192, 0.4
 #: Members of a block in brute force by sketches.
-BLOCK = 1024
+BLOCK = 2048
 BITS = 128
 #: Sketch bits that must agree: a pair of similarity 0.8 has fewer with probability below 1e-8.
 AGREE = 94
@@ -90,17 +90,16 @@ def sketch(x: np.ndarray) -> bytes:
 def samples(x: np.ndarray, runs: int) -> list[int]:
     """Sampled shingles of all runs and levels: run, level and shingle in one 64-bit path step.
 
-    The last 8 bits hold run and level; the rest is the shingle's hash.
+    The last 8 bits hold run and level; the rest is the shingle's hash. A run
+    mixes each shingle once; a level looks at 16 bits of its own.
     """
     if not len(x):
         return []
-    out, edge = [], min(1.0, RATE / len(x)) * 2.0**64
+    edge, out = min(1 << 16, -(-int(RATE * 65536) // len(x))), []
     for r in range(runs):
-        for level in range(LEVELS):
-            tag = np.uint64(r * LEVELS + level)
-            u = mix(x + np.uint64((int(tag) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            hit = x[u < edge] if edge < 2.0**64 else x
-            out.append((mix(hit ^ u[u < edge] if edge < 2.0**64 else hit ^ u) & ~np.uint64(255)) | tag)
+        u = mix(x + np.uint64((r + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        at, level = np.nonzero(u.view(np.uint16).reshape(-1, 4)[:, :LEVELS] < edge)
+        out.append((mix(u[at] + level.astype(np.uint64)) & ~np.uint64(255)) | (np.uint64(4 * r) + level.astype(np.uint64)))
     return np.concatenate(out).view(np.int64).tolist()
 
 
@@ -121,7 +120,7 @@ def _agreeing(bits: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def _elsewhere(paths: list[np.ndarray], path: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs that share a leaf before this one."""
+    """Matrix of the pairs that share a leaf before this one, by the paths' first 32 bits."""
     who = np.concatenate([np.full(len(p), i) for i, p in enumerate(paths)])
     at = np.concatenate(paths)
     who, at = who[at < path], at[at < path]
@@ -162,7 +161,7 @@ def _compare(threshold: float, exact: bool, words: int):
             ok = np.triu(ok, 1)
         if not ok.any():
             return None
-        ok &= ~_elsewhere([np.asarray(p, np.int64) for p in g["leaves"]], path, left, right)
+        ok &= ~_elsewhere([np.asarray(p, np.int32) for p in g["leaves"]], path >> 32, left, right)
         i, j = np.nonzero(ok)
         if not len(i):
             return None
@@ -271,7 +270,7 @@ def _resolve(docs: DataFrame, words: int, threshold: float, recall: float) -> Da
     first = F.min(F.struct("d", "u", "t"))
     classes = cut(rows.groupBy("h", "g").agg(first.alias("first"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("steps").alias("steps")))
     classes = classes.withColumn("c", F.monotonically_increasing_id())
-    step = lambda level: F.filter("steps", lambda s: s.bitwiseAND(F.lit(LEVELS - 1)) == level)
+    step = lambda level: F.filter("steps", lambda s: s.bitwiseAND(F.lit(3)) == level)
     run_of = lambda s: F.shiftright(s.bitwiseAND(F.lit(255)), 2)
 
     live = classes.select("c", F.explode(step(0)).alias("path")).withColumn("run", run_of(F.col("path")))
@@ -296,9 +295,9 @@ def _resolve(docs: DataFrame, words: int, threshold: float, recall: float) -> Da
     for x in leaves[1:]:
         leaf = leaf.union(x)
     leaf = leaf.distinct() if len(leaves) > 1 else leaf
-    own = leaf.groupBy("c").agg(F.collect_list("path").alias("leaves"))
+    own = leaf.groupBy("c").agg(F.collect_list(F.shiftright("path", 32).cast("int")).alias("leaves"))
     members = leaf.join(own.join(classes.select("c", "size", "copies", "sketch"), "c"), "c").select("path", "n", "c", "size", "copies", "sketch", "leaves")
-    columns = "path long, n long, c long, size long, copies long, leaves array<long>"
+    columns = "path long, n long, c long, size long, copies long, leaves array<int>"
     maybe = cut(grouped(_paired(members, F.ceil(F.col("n") / BLOCK).cast("int")), ["path", "a", "b"], _compare(threshold, False, words), columns).distinct())
     texts = keyed.join(maybe.select("c").distinct().join(classes.select("c", "first.d", "first.t"), "c"), ["d", "t"]).dropDuplicates(["d", "t"]).select("c", "text")
     # exact comparison: blocks of 128 members, or 24 blocks and more where that would be over 24
