@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm._common import cut, grouped
@@ -24,6 +24,8 @@ from tidewright.llm.embdedup import as_bytes, kind_of, usable
 CHUNK, QUERY_BLOCK = 4096, 1024
 #: Parts of vectors whose length is not the model's: searched whole.
 ODD = 1 << 20
+#: Stands for a null id: after all others.
+NO_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -197,8 +199,8 @@ def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: s
             return None
         x = np.stack([np.frombuffer(v, kind) for v in g["v"]]).astype("f8")
         q, c = x[ask], x[~ask]
-        qu, cu, cid = g["u"].to_numpy()[ask], g["u"].to_numpy()[~ask], g["id"].astype("Int64")[~ask]
-        order_id = cid.fillna(np.iinfo(np.int64).max).to_numpy("i8")
+        qu, cu = g["u"].to_numpy()[ask], g["u"].to_numpy()[~ask]
+        order_id = g["id"].astype("Int64")[~ask].fillna(NO_ID).to_numpy("i8")
         qid, outs = g["id"].astype("Int64")[ask].array, []
         for a in range(0, len(q), 256):
             s = q[a : a + 256] @ c.T
@@ -212,9 +214,16 @@ def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: s
             o = np.lexsort((order_id[j], -exact, i))
             first = np.searchsorted(i[o], i[o], "left")
             o = o[np.arange(len(o)) - first < k]
-            outs.append(pd.DataFrame({"qu": qu[a + i[o]], "query_id": qid[a + i[o]], "vec_id": cid.array[j[o]], "score": exact[o]}))
+            edges = np.flatnonzero(np.diff(i[o], prepend=-1))
+            who = i[o][edges]
+            split = lambda x: np.split(x, edges[1:])
+            outs.append(pd.DataFrame({"qu": qu[a + who], "query_id": qid[a + who], "ids": split(order_id[j[o]]), "scores": split(exact[o])}))
         return pd.concat(outs)
 
-    near = grouped(cands.union(quests), ["part", "chunk", "qb"], rank, "qu long, query_id long, vec_id long, score double")
-    by = Window.partitionBy("qu").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a row a query and block; a query's rows are merged as arrays of at most k each
+    near = grouped(cands.union(quests), ["part", "chunk", "qb"], rank, "qu long, query_id long, ids array<long>, scores array<double>")
+    pairs = F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("far"), i.alias("vec_id")))
+    merged = near.select("qu", "query_id", pairs.alias("p")).groupBy("qu").agg(F.any_value("query_id").alias("query_id"), F.flatten(F.collect_list("p")).alias("p"))
+    best = merged.select("query_id", F.posexplode(F.slice(F.array_sort("p"), 1, k)).alias("at", "p"))
+    vec_id = F.when(F.col("p.vec_id") != NO_ID, F.col("p.vec_id"))
+    return best.select("query_id", (F.col("at") + 1).alias("rank"), vec_id.alias("vec_id"), (-F.col("p.far")).alias("score"))
