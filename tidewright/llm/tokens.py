@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
 import numpy as np
 
-#: A text may be cut before a run of these, if no other white space is in it:
-#: the pre-tokenizer never joins a non-blank with the blank that follows it.
-CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Letters and marks between which the pre-tokenizer always parts a text, as it
+#: does before a run of the four blanks: a text may be cut there.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+CHUNK = re.compile(rf"[ \n\t\r]*[{LETTERS}]+(?=[ \n\t\r{MARKS}]|\Z)|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 OTHER_BLANK = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f]")
 
 
@@ -17,34 +19,44 @@ class Encoder:
     """Texts to little-endian unsigned 32-bit ids, the tokenizer's own ids.
 
     ``ids(text)`` equals ``Tokenizer.encode(text, add_special_tokens=False).ids``
-    with the strings of special tokens as ordinary text. Chunks between white
-    space are encoded once and remembered; at ``memory`` chunks the memory is
-    emptied and chunks over 64 characters are never kept, so it stays bounded. Texts with rare white space (where a cut
-    might not be a token border) are encoded whole.
+    with the strings of special tokens as ordinary text. Chunks are encoded
+    once and remembered in two generations: when the younger holds ``memory``
+    chunks, the older, whose chunks had no use since, is let go. Chunks over 64
+    characters are never kept, so memory is bounded. Texts with rare white
+    space (where a cut might not be a token border) are encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000) -> None:
+    def __init__(self, path: str, memory: int = 500_000) -> None:
+        # a task has one core; threads of the tokenizer's own only wait for one another
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory, self.seen = memory, {}
+        self.memory, self.young, self.old = memory, {}, {}
 
     def raw(self, text: str | None) -> bytes:
         text = text or ""
         if OTHER_BLANK.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, seen = CHUNK.findall(text), self.seen
-        try:
-            return b"".join([seen[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(seen) > self.memory:
-            seen.clear()
-        new = list({c for c in chunks if c not in seen})
-        got = {c: array("I", e.ids).tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        seen.update((c, x) for c, x in got.items() if len(c) <= 64)
-        return b"".join([seen[c] if c in seen else got[c] for c in chunks])
+        chunks, young, old = CHUNK.findall(text), self.young, self.old
+        once, new = {}, []
+        for c in set(chunks).difference(young):
+            got = old.get(c)
+            if got is None:
+                new.append(c)
+            else:
+                young[c] = got
+        if new:
+            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                (young if len(c) <= 64 else once)[c] = array("I", e.ids).tobytes()
+        if once:
+            out = b"".join([once[c] if c in once else young[c] for c in chunks])
+        else:
+            out = b"".join(map(young.__getitem__, chunks))
+        if len(young) > self.memory:
+            self.young, self.old = {}, young
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), "<u4")
