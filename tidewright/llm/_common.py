@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take ``rows`` rows at a time, so that long texts don't fill them.
+
+    A setting of the session, which it keeps; a smaller one of the user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -120,6 +130,21 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """What a worker process remembers between tasks, of one operator at a time.
+
+    Workers live on from stage to stage, so each operator's memory would stay
+    beside the next one's.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 class Forest:
     """Union-find over small integers, smallest member as root."""
 

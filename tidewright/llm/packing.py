@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import cut
+from tidewright.llm._common import cut, small_batches
 from tidewright.llm.tokens import encoder
 
 FAN = 64
@@ -100,6 +100,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, leas
                 frame["ids"] = blobs
             yield frame
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, PIECE + (", ids binary" if with_ids else ""))
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import Forest, components, cut, grouped
+from tidewright.llm._common import Forest, components, cut, grouped, held, small_batches
 from tidewright.llm.linededup import NO_ID
 
 WORD = re.compile(r"\w+")
@@ -43,7 +43,6 @@ AGREE = 94
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.random.default_rng(5).integers(1 << 40, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,15 +61,14 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = WORD.findall((text or "").lower())
     if not found:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
+    known = held("shingle words", dict)
+    if len(known) > 300_000:
+        known.clear()
     try:
-        h = [_words[w] for w in found]
+        h = [known[w] for w in found]
     except KeyError:
-        for w in found:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        h = [_words[w] for w in found]
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(found).difference(known))
+        h = [known[w] for w in found]
     h = np.array(h, np.uint64)
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
@@ -253,6 +251,7 @@ def near_rows(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, recall
 
 
 def _resolve(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
+    small_batches(docs.sparkSession)
     runs = runs_for(recall, threshold)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 

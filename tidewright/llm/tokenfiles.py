@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm._common import small_batches
 from tidewright.llm.tokens import encoder
 
 BLOCK = 1 << 20
@@ -78,6 +79,7 @@ def write(docs: DataFrame, where: str, tokenizer: str, *, end_id: int = 0, vocab
                 files.move(old, new)
             yield pd.DataFrame({"part": [part], "n_docs": [docs_seen], "n_ids": [n]})
 
+    small_batches(docs.sparkSession)
     files, root = _open(where)
     files.create_dir(root, recursive=True)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from tidewright.llm._common import held
+
 #: Letters and marks between which the pre-tokenizer always parts a text, as it
 #: does before a run of the four blanks: a text may be cut there.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
@@ -62,11 +64,6 @@ class Encoder:
         return np.frombuffer(self.raw(text), "<u4")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A worker process's encoder of a file."""
+    return held(("tokenizer", path), lambda: Encoder(path))

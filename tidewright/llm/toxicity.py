@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm._common import held, small_batches
+
 WORD = re.compile(r"[^\W\d_]+|\d+")
 #: Words of a window and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
@@ -192,7 +194,7 @@ class Model:
 class Memory:
     """Inputs of the words met so far, row 0 for the padding; emptied when full."""
 
-    def __init__(self, most: int = 600_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         self.most, self.place, self.table = most, {}, np.zeros((1024, INPUTS), "f4")
 
     def learn(self, words: set[str], odds: Odds) -> None:
@@ -330,23 +332,19 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
-_held: dict[int, Memory] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``, and ``score``.
 
     A null or empty text is one empty window. Rows are scored each; an empty
     table gives no rows. Only the text is read by the model.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # words and n-grams of the bounded sample
 
     def run(texts: pd.Series) -> pd.Series:
         m = shared.value
-        if id(m) not in _held:
-            _held.clear()
-            _held[id(m)] = Memory()
-        out = [m.scores(list(texts.iloc[a : a + 256]), _held[id(m)]) for a in range(0, len(texts), 256)]
+        memory = held(("toxicity inputs", id(m)), Memory)
+        out = [m.scores(list(texts.iloc[a : a + 256]), memory) for a in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(out) if out else [], dtype="f8")
 
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
