@@ -131,3 +131,25 @@ def chunk_sizes(length: Column, key: Column) -> Column:
 
     fold = F.aggregate(F.sequence(F.lit(0), F.ceil(length / 4).cast("int")), state, step)["sizes"]
     return F.when(length <= 0, F.array().cast("array<bigint>")).when(length < 4, F.array(length.cast("long"))).otherwise(fold)
+
+
+#: Words that show no common ground.
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+
+def grounded(message: Column, payload: Column) -> Column:
+    """One shared token with a digit, or two shared tokens that are no stop words."""
+    shared = F.array_except(F.array_intersect(words(message), words(payload)), F.array(*map(F.lit, STOPWORDS)))
+    return F.exists(shared, lambda w: w.rlike("[0-9]")) | (F.size(shared) >= 2)
+
+
+def term_coverage(terms: Column, text: Column) -> Column:
+    """Share of the terms that occur in the text; null where there are none."""
+    hit = F.size(F.filter(terms, lambda w: F.contains(text, w)))
+    return F.bround(hit / F.nullif(F.size(terms), F.lit(0)), 6)
+
+
+def unsafe(text: Column) -> Column:
+    """Markup, control characters or an unbalanced code fence."""
+    fences = F.regexp_count(text, F.lit("```")) % 2 == 1
+    return text.rlike(r"</?[A-Za-z][^>]*>") | text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]") | fences

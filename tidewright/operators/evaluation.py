@@ -104,3 +104,22 @@ def checkpoint_choice(reports: DataFrame, tag: str, keys: list[str], order: str)
     """The best report by several keys in turn, the earliest of equals."""
     w = Window.orderBy(*[F.desc(k) for k in keys], order)
     return reports.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(tag, *keys)
+
+
+def judged(rows: DataFrame, judgments: DataFrame, id: str, verdict: str) -> DataFrame:
+    """Rows with their verdict; a row without one is ``missing`` and fails. Verdicts without a row are left out."""
+    v = judgments.select(id, F.col(verdict).alias("verdict"))
+    return rows.join(v, id, "left").withColumn("verdict", F.coalesce("verdict", F.lit("missing"))).withColumn("passed", F.col("verdict") == "pass")
+
+
+def adjudicated(first: DataFrame, second: DataFrame, rulings: DataFrame, id: str, verdict: str) -> DataFrame:
+    """Two reviews of the same rows and rulings on their disagreements: final verdict, agreement, and what is wrong.
+
+    A row in one review only, a disagreement without a ruling and a ruling
+    without a disagreement have an error.
+    """
+    a, b, c = (x.select(id, F.col(verdict).alias(n)) for x, n in ((first, "a"), (second, "b"), (rulings, "c")))
+    m = a.join(b, id, "full_outer").join(c, id, "full_outer")
+    agreed = F.col("a") == F.col("b")
+    error = F.when(F.col("a").isNull() | F.col("b").isNull(), "not reviewed twice").when(agreed & F.col("c").isNotNull(), "ruled without need").when(~agreed & F.col("c").isNull(), "not ruled")
+    return m.select(id, F.coalesce(agreed, F.lit(False)).alias("agreed"), error.alias("error"), F.when(error.isNull(), F.coalesce("c", "a")).alias("verdict"))

@@ -93,3 +93,30 @@ def shards(df: DataFrame, id: str, line: Column, least: int, most_bytes: int) ->
             break
         count += 1
     return place.withColumn("shard", (F.floor(F.col("_at") / size) + 1).cast("long")).withColumn("of", F.lit(count).cast("long")).drop("_at", "_bytes")
+
+
+def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first row of each key in order, with how many it stands for."""
+    w = Window.partitionBy("_key")
+    d = df.withColumn("_key", key).withColumn("copies", F.count("*").over(w))
+    return d.withColumn("_k", F.row_number().over(w.orderBy(order))).where("_k = 1").drop("_k", "_key")
+
+
+def apportion(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:
+    """``allocation`` of ``total`` by integer weights: largest remainder, ties by name."""
+    whole = int(weights.agg(F.sum(weight)).first()[0] or 0)
+    if not whole:
+        return weights.withColumn("allocation", F.lit(0).cast("long"))
+    d = weights.withColumn("_b", F.floor(F.lit(total) * F.col(weight) / whole).cast("long")).withColumn("_r", (F.lit(total) * F.col(weight)) % whole)
+    left = total - int(d.agg(F.sum("_b")).first()[0])
+    place = F.row_number().over(Window.orderBy(F.desc("_r"), name))  # one row a name
+    return d.withColumn("_p", place).withColumn("allocation", F.col("_b") + F.when(F.col("_p") <= left, 1).otherwise(0)).drop("_b", "_r", "_p")
+
+
+def leakage(train: DataFrame, dev: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """How many distinct keys of each kind two sets share: a row a kind."""
+    out = None
+    for name, key in keys.items():
+        both = train.select(key.alias("k")).intersect(dev.select(key.alias("k"))).agg(F.lit(name).alias("kind"), F.count("*").alias("shared"))
+        out = both if out is None else out.union(both)
+    return out

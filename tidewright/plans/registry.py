@@ -454,6 +454,102 @@ def v08_opener_gate(spark, d):
     return V.opener_gate(t(spark, d, "documents"), "source", S.opener(F.col("text")))
 
 
+# --- more text checks, reviews and quotas ---------------------------------------------------
+
+SQL_STOP = "[" + ", ".join(f"'{w}'" for w in S.STOPWORDS) + "]"
+
+
+@query(f"""WITH p AS (SELECT item_id, text, lag(text) OVER (ORDER BY item_id) AS before FROM benchmark),
+s AS (SELECT item_id, list_filter(list_distinct(list_intersect({SQL_WORDS.format('text')}, {SQL_WORDS.format("coalesce(before, '')")})), lambda w: NOT list_contains({SQL_STOP}, w)) AS shared FROM p)
+SELECT item_id, len(shared) >= 2 OR len(list_filter(shared, lambda w: regexp_matches(w, '[0-9]'))) > 0 AS grounded FROM s""")
+def p31_grounded(spark, d):
+    b = t(spark, d, "benchmark").withColumn("before", F.lag("text").over(W.Window.orderBy("item_id")))
+    return b.select("item_id", S.grounded(F.col("text"), F.coalesce("before", F.lit(""))).alias("grounded"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '</?[A-Za-z][^>]*>') OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') OR len(regexp_extract_all(text, '```')) % 2 = 1 AS unsafe FROM documents")
+def p20_unsafe_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.unsafe(F.col("text")).alias("unsafe"))
+
+
+@query(f"SELECT item_id, round_even(len(list_filter(w, lambda x: contains('the of and anly', x))) / nullif(len(w), 0), 6) AS coverage FROM (SELECT item_id, {SQL_WORDS_TEXT} AS w FROM benchmark)")
+def a20_term_coverage(spark, d):
+    return t(spark, d, "benchmark").select("item_id", S.term_coverage(S.words(F.col("text")), F.lit("the of and anly")).alias("coverage"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'pass' WHEN quality = 0 THEN 'fail' END, 'missing') AS verdict, coalesce(quality = 1, false) AS passed FROM documents LEFT JOIN labels USING (doc_id)")
+def e09_judgment_merge(spark, d):
+    verdicts = t(spark, d, "labels").withColumn("v", F.when(F.col("quality") == 1, "pass").otherwise("fail"))
+    return E.judged(t(spark, d, "documents").select("doc_id"), verdicts, "doc_id", "v")
+
+
+@query("""SELECT doc_id, a = b AS agreed, CASE WHEN a = b AND c IS NOT NULL THEN 'ruled without need' WHEN a <> b AND c IS NULL THEN 'not ruled' END AS error,
+CASE WHEN (a = b AND c IS NULL) OR (a <> b AND c IS NOT NULL) THEN coalesce(c, a) END AS verdict FROM (SELECT doc_id, quality AS a, toxic AS b, CASE WHEN doc_id % 3 = 0 THEN quality END AS c FROM labels)""")
+def e10_adjudication(spark, d):
+    x = t(spark, d, "labels")
+    return E.adjudicated(x, x.select("doc_id", F.col("toxic").alias("quality")), x.where("doc_id % 3 = 0"), "doc_id", "quality")
+
+
+@query("SELECT round_even(avg((quality = toxic)::INT), 6) AS agreement, count(*) AS n FROM labels")
+def a26_agreement(spark, d):
+    return t(spark, d, "labels").agg(E.rounded(F.avg((F.col("quality") == F.col("toxic")).cast("int"))).alias("agreement"), F.count("*").alias("n"))
+
+
+@query("SELECT round_even(avg(CASE WHEN toxic = 1 THEN quality END), 6) AS mean, count(CASE WHEN toxic = 1 THEN quality END) AS n FROM labels")
+def a11_null_skipping_mean(spark, d):
+    x = F.when(F.col("toxic") == 1, F.col("quality")).cast("double")
+    return t(spark, d, "labels").agg(E.rounded(F.avg(x)).alias("mean"), F.count(x).alias("n"))
+
+
+@query("""WITH s AS (SELECT lang, count(*) AS w FROM documents GROUP BY 1), b AS (SELECT *, 97 * w // sum(w) OVER () AS base, (97 * w) % sum(w) OVER () AS r FROM s)
+SELECT lang, w, (base + CASE WHEN row_number() OVER (ORDER BY r DESC, lang) <= 97 - sum(base) OVER () THEN 1 ELSE 0 END)::BIGINT AS allocation FROM b""")
+def k05_apportion(spark, d):
+    return K.apportion(t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("w")), "lang", "w", 97)
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def k13_dedup_keep_first(spark, d):
+    return K.keep_first(t(spark, d, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "copies")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4096")
+def k16_length_filter(spark, d):
+    return t(spark, d, "documents").where("n_chars <= 4096").select("doc_id", "n_chars")
+
+
+@query(f"""WITH x AS (SELECT *, {SQL_SPLIT} AS split FROM documents) SELECT 'text' AS kind, count(*) AS shared FROM (SELECT text FROM x WHERE split = 'train' INTERSECT SELECT text FROM x WHERE split = 'dev')
+UNION ALL SELECT 'source', count(*) FROM (SELECT source FROM x WHERE split = 'train' INTERSECT SELECT source FROM x WHERE split = 'dev')""")
+def u06_leakage(spark, d):
+    x = split_docs(spark, d)
+    return K.leakage(x.where("split = 'train'"), x.where("split = 'dev'"), {"text": F.col("text"), "source": F.col("source")})
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (n_chars > 4096) AS removed FROM documents GROUP BY 1")
+def a09_removed_audit(spark, d):
+    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 4096).alias("removed"))
+
+
+@query("SELECT source, sum(n)::BIGINT AS total, round_even(coalesce(sum(n) FILTER (k <= 4), 0) / sum(n), 6) AS top4 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)) GROUP BY source")
+def a35_top4_share(spark, d):
+    n = t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    k = F.row_number().over(W.Window.partitionBy("source").orderBy(F.desc("n"), "lang"))
+    g = n.withColumn("k", k).groupBy("source").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("k") <= 4, F.col("n"))).alias("top"))
+    return g.select("source", "total", E.rounded(F.col("top") / F.col("total")).alias("top4"))
+
+
+@query("SELECT conv_id, turn, (sum(length(text)) OVER w)::BIGINT AS size, length(text)::BIGINT AS added, sum(length(text)) OVER w > 3000 AS over FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def a34_context_growth(spark, d):
+    c = W.running(t(spark, d, "conversations"), "conv_id", "turn", F.length("text"), "size")
+    return c.select("conv_id", "turn", "size", F.length("text").cast("long").alias("added"), (F.col("size") > 3000).alias("over"))
+
+
+@query("SELECT source FROM (SELECT source, avg((quality = 1)::INT) AS q, avg((toxic = 0)::INT) AS r FROM labels JOIN documents USING (doc_id) GROUP BY 1) ORDER BY least(q, r) DESC, q DESC, source LIMIT 1")
+def k21_checkpoint_choice(spark, d):
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    r = rows.groupBy("source").agg(F.avg((F.col("quality") == 1).cast("int")).alias("q"), F.avg((F.col("toxic") == 0).cast("int")).alias("r"))
+    return E.checkpoint_choice(r.withColumn("floor", F.least("q", "r")), "source", ["floor", "q"], "source").select("source")
+
+
 # --- compilers and sessions ------------------------------------------------------------------
 
 
