@@ -123,3 +123,41 @@ def adjudicated(first: DataFrame, second: DataFrame, rulings: DataFrame, id: str
     agreed = F.col("a") == F.col("b")
     error = F.when(F.col("a").isNull() | F.col("b").isNull(), "not reviewed twice").when(agreed & F.col("c").isNotNull(), "ruled without need").when(~agreed & F.col("c").isNull(), "not ruled")
     return m.select(id, F.coalesce(agreed, F.lit(False)).alias("agreed"), error.alias("error"), F.when(error.isNull(), F.coalesce("c", "a")).alias("verdict"))
+
+
+def alignment(gold: DataFrame, predicted: DataFrame, row: str) -> DataFrame:
+    """How many rows two reports share, and how many only one has: all is aligned if the latter are 0."""
+    m = gold.select(row, F.lit(True).alias("g")).join(predicted.select(row, F.lit(True).alias("p")), row, "full_outer")
+    return m.agg(F.count_if(F.col("g") & F.col("p")).alias("both_sides"), F.count_if(F.col("p").isNull()).alias("gold_only"), F.count_if(F.col("g").isNull()).alias("predicted_only"))
+
+
+def support(rows: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """Rows in each slice, and whether no slice is empty."""
+    n = rows.agg(*[F.count_if(c).alias(k) for k, c in slices.items()])
+    full = F.lit(True)
+    for k in slices:
+        full = full & (F.col(k) > 0)
+    return n.withColumn("passed", full)
+
+
+def slices(rows: DataFrame, metrics: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A rate for each (which rows, what holds); null where no row is in the slice."""
+    return rows.agg(*[rounded(F.avg(F.when(which, holds.cast("int")))).alias(k) for k, (which, holds) in metrics.items()])
+
+
+def composite(kinds: list[tuple[Column, dict[str, float]]]) -> Column:
+    """Weighted sum by the first kind that applies; a missing component counts 0."""
+    out = None
+    for applies, weights in kinds:
+        total = F.lit(0.0)
+        for name, w in weights.items():
+            total = total + w * F.coalesce(F.col(name), F.lit(0.0))
+        out = F.when(applies, total) if out is None else out.when(applies, total)
+    return rounded(out)
+
+
+def diagnoses(rows: DataFrame, item: str, right: Column) -> DataFrame:
+    """Items answered rightly each time, at times, or never: a count of each."""
+    i = rows.groupBy(item).agg(F.bool_and(right).alias("all"), F.bool_or(right).alias("some"))
+    kind = F.when(F.col("all"), "recognised").when(F.col("some"), "order dependent").otherwise("missed")
+    return i.groupBy(kind.alias("diagnosis")).agg(F.count("*").alias("n"))

@@ -60,3 +60,17 @@ def share_gate(df: DataFrame, columns: list[str], bounds: dict[str, tuple[int, f
         least, most = F.when(F.col("field") == c, a).otherwise(least), F.when(F.col("field") == c, b).otherwise(most)
     share = F.col("top") / F.col("total")
     return g.select("field", "values", F.bround(share, 6).alias("share"), ((F.col("values") >= least) & (share <= most)).alias("passed"))
+
+
+def envelope(df: DataFrame, id: str, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Rows that break a rule, with the first they break; an id that occurs twice breaks the first."""
+    n = df.groupBy(id).agg(F.count("*").alias("_n"))
+    error = F.when(F.col("_n") != 1, "repeated id")
+    for name, broken in rules:
+        error = error.when(broken, name)
+    return df.join(n, id).select(id, error.alias("error")).where("error IS NOT NULL")
+
+
+def blanks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Null or blank values of each column."""
+    return df.agg(*[F.count_if(F.trim(F.coalesce(F.col(c), F.lit(""))) == "").alias(c) for c in columns])

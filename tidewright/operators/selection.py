@@ -46,14 +46,29 @@ def stratified(df: DataFrame, id: str, stratum: str, count: int, salt: str) -> D
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
     quota = largest_remainder(sizes, stratum, "_n", count, salt).select(stratum, "allocation")
     w = Window.partitionBy(stratum).orderBy(ranked(salt, F.col(id)), id)
-    return df.withColumn("_k", F.row_number().over(w)).join(quota, stratum).where(F.col("_k") <= F.col("allocation")).drop("_k", "allocation")
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= count).join(quota, stratum).where(F.col("_k") <= F.col("allocation")).drop("_k", "allocation")
 
 
 def water_fill(pools: DataFrame, name: str, capacity: str, budget: int) -> DataFrame:
-    """Round-robin ``allocation``: one unit a pool and round, in name order, until the budget or the capacities end."""
-    units = pools.select(name, F.explode(F.sequence(F.lit(1), F.col(capacity).cast("int"))).alias("_round"))
-    got = units.orderBy("_round", name).limit(budget).groupBy(name).agg(F.count("*").alias("allocation"))
-    return pools.join(got, name, "left").withColumn("allocation", F.coalesce("allocation", F.lit(0)).cast("long"))
+    """Round-robin ``allocation``: one unit a pool and round, in name order, until the budget or the capacities end.
+
+    The number of whole rounds is searched on sums, so work doesn't grow with the budget.
+    """
+    cap = F.col(capacity)
+    taken = lambda level: int(pools.agg(F.sum(F.least(cap, F.lit(level)))).first()[0] or 0)
+    low, high = 0, int(pools.agg(F.max(cap)).first()[0] or 0)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if taken(middle) <= budget else (low, middle - 1)
+    left = max(0, budget - taken(low))
+    more = pools.where(cap > low).orderBy(name).limit(left).select(name, F.lit(1).alias("_more"))
+    return pools.join(more, name, "left").withColumn("allocation", (F.least(cap, F.lit(low)) + F.coalesce("_more", F.lit(0))).cast("long")).drop("_more")
+
+
+def spill(pools: DataFrame, name: str, capacity: str, budget: int) -> DataFrame:
+    """``allocation``: pools are filled in name order; what one can't hold goes to the next."""
+    before = F.coalesce(F.sum(capacity).over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a pool
+    return pools.withColumn("allocation", F.greatest(F.lit(0), F.least(F.col(capacity), F.lit(budget) - before)).cast("long"))
 
 
 def unique_take(df: DataFrame, episode: str, id: str, n: int, salt: str, used: DataFrame | None = None) -> DataFrame:
@@ -77,18 +92,42 @@ def integrity(df: DataFrame, key: Column, split: str, corpus: str, answer: str)
     return g.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_rows"), F.count_if(F.col("n") > 1).alias("groups"), F.sum(F.col("n") - 1).alias("removed"), F.count_if(F.col("s") > 1).alias("cross_split"), F.count_if(F.col("c") > 1).alias("cross_corpus"), F.count_if(F.col("a") > 1).alias("conflicts"))
 
 
+def numbered(df: DataFrame, order: str, name: str, buckets: int = 64, sample: int = 4096) -> DataFrame:
+    """``name``: each row's place by ``order``, from 1, without ordering all rows in one task.
+
+    Rows are dealt to ranges of ``order`` and numbered within; ranges start at
+    the counts before them. The bounds come from ``sample`` rows of the lowest
+    hash: they set the balance alone, not the numbers. Rows of equal ``order``
+    stay in one range, so ``order`` should be nearly unique. Nulls come first.
+    """
+    some = [r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order)).limit(sample).collect()]
+    some = sorted(set(some))
+    bounds = sorted({some[len(some) * k // buckets] for k in range(1, buckets)}) if some else []
+    if not bounds:
+        bucket = F.lit(0)
+    else:
+        bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))), F.lit(0))
+    dealt = df.withColumn("_b", F.when(F.col(order).isNull(), 0).otherwise(bucket))
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy("_b").count().collect())  # a row a range
+    before, at = {}, 0
+    for b, n in counts:
+        before[b], at = at, at + n
+    start = F.element_at(F.create_map(*[F.lit(x) for b, n in before.items() for x in (int(b), int(n))]), F.col("_b")) if before else F.lit(0)
+    return dealt.withColumn(name, (F.row_number().over(Window.partitionBy("_b").orderBy(order)) + start).cast("long")).drop("_b")
+
+
 def shards(df: DataFrame, id: str, line: Column, least: int, most_bytes: int) -> DataFrame:
     """``shard`` (1-based) and ``of``: equal contiguous slices by id, as few as fit the byte cap, ``least`` at least.
 
-    Only (place, bytes) of each row is ordered; sizes are searched on sums a shard.
+    Places come from ``numbered``; sizes are searched on sums a shard.
     """
-    own = df.withColumn("_bytes", F.octet_length(line).cast("long") + 1)
-    place = own.withColumn("_at", F.row_number().over(Window.orderBy(id)) - 1)
-    n = place.count()
+    place = numbered(df.withColumn("_bytes", F.octet_length(line).cast("long") + 1), id, "_at").withColumn("_at", F.col("_at") - 1)
+    n = df.count()
     count = least
+    sizes = place.select("_at", "_bytes")
     while True:
         size = max(1, -(-n // count))
-        worst = place.groupBy(F.floor(F.col("_at") / size)).agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0] or 0
+        worst = sizes.groupBy(F.floor(F.col("_at") / size)).agg(F.sum("_bytes").alias("b")).agg(F.max("b")).first()[0] or 0
         if worst <= most_bytes or size == 1:
             break
         count += 1
@@ -96,10 +135,43 @@ def shards(df: DataFrame, id: str, line: Column, least: int, most_bytes: int) ->
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key in order, with how many it stands for."""
-    w = Window.partitionBy("_key")
-    d = df.withColumn("_key", key).withColumn("copies", F.count("*").over(w))
-    return d.withColumn("_k", F.row_number().over(w.orderBy(order))).where("_k = 1").drop("_k", "_key")
+    """The first row of each key in order, with how many it stands for.
+
+    Keys travel as digests and are aggregated before the shuffle, so a key that
+    many rows share doesn't land in one task.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    g = df.groupBy(F.sha2(key, 256).alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row"), F.count("*").alias("copies"))
+    return g.select("_row.*", "copies")
+
+
+def cover(df: DataFrame, id: str, value: str, n: int, salt: str) -> DataFrame:
+    """n rows: first one of each value, then others, both by hash."""
+    h = ranked(salt, F.col(id))
+    first = df.groupBy(value).agg(F.min_by(id, F.struct(h.alias("h"), F.col(id).alias("i"))).alias(id)).withColumn("_first", F.lit(True))
+    marked = df.join(first.select(id, "_first"), id, "left")
+    return marked.orderBy(F.coalesce("_first", F.lit(False)).desc(), h, id).limit(n).drop("_first")
+
+
+def tagged(df: DataFrame, id: str, groups: dict[str, tuple[Column, int]], salt: str) -> DataFrame:
+    """Exactly so many rows of each group, by hash, with ``group``; fewer where a group has fewer."""
+    out = None
+    for name, (which, n) in groups.items():
+        part = take(df.where(which), id, n, salt).withColumn("group", F.lit(name))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def fingerprint(df: DataFrame, id: str, digest: Column) -> DataFrame:
+    """Rows and the sum of 48 bits of each row's digest: the same in any order, unlike a digest of all lines."""
+    one = F.conv(F.substring(F.sha2(F.concat(F.col(id).cast("string"), F.lit(":"), digest), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(one).cast("string").alias("fingerprint"))
+
+
+def coverage(expected: DataFrame, found: DataFrame, id: str) -> DataFrame:
+    """Ids that are missing and ids that are extra; both 0 for an exact cover."""
+    miss = expected.join(found, id, "left_anti").agg(F.count("*").alias("missing"))
+    return miss.join(found.join(expected, id, "left_anti").agg(F.count("*").alias("extra")))
 
 
 def apportion(weights: DataFrame, name: str, weight: str, total: int) -> DataFrame:

@@ -80,3 +80,17 @@ def overlap_anti(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Ranges of ``left`` that no range of ``right`` with the same key overlaps."""
     a, b = left.alias("a"), right.alias("b")
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")), "left_anti")
+
+
+def role_pairs(df: DataFrame, keys: list[str], role: Column, value: str, roles: dict[str, str]) -> DataFrame:
+    """The latest ``value`` of each role, for the keys that have all of them; one aggregate, no self-join."""
+    g = df.groupBy(*keys).agg(*[F.max(F.when(role == r, F.col(value))).alias(n) for n, r in roles.items()])
+    return g.dropna(subset=list(roles))
+
+
+def claims(df: DataFrame, keys: list[str], value: str, precedence: list[Column], order: str) -> DataFrame:
+    """One ``value`` for each key: of the rows of the first rule that holds, the first in order."""
+    rank = F.lit(len(precedence))
+    for k, rule in reversed(list(enumerate(precedence))):
+        rank = F.when(rule, k).otherwise(rank)
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(rank.alias("r"), F.col(order).alias("o"))).alias(value))

@@ -576,3 +576,6 @@ def session_events(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t02_session_fold(spark, d):
     return session.fold(session_events(spark, d))
+
+
+from tidewright.plans import relations as _relations  # noqa: E402, F401  (registers its queries)
