@@ -94,3 +94,12 @@ def claims(df: DataFrame, keys: list[str], value: str, precedence: list[Column],
     for k, rule in reversed(list(enumerate(precedence))):
         rank = F.when(rule, k).otherwise(rank)
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(rank.alias("r"), F.col(order).alias("o"))).alias(value))
+
+
+def empty_kind(df: DataFrame, key: str, order: str, content: Column) -> DataFrame:
+    """``kind`` of an empty text: initial, unchanged (after another empty one) or cleared; null where the text is not empty."""
+    before = F.lag(content).over(Window.partitionBy(key).orderBy(order))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
+    d = df.withColumn("_b", before).withColumn("_f", first).withColumn("_c", content)
+    kind = F.when(F.col("_c") == "", F.when(F.col("_f"), "initial").when(F.col("_b") == "", "unchanged").otherwise("cleared"))
+    return d.withColumn("kind", kind).drop("_b", "_f", "_c")

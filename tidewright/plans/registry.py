@@ -579,3 +579,4 @@ def t02_session_fold(spark, d):
 
 
 from tidewright.plans import relations as _relations  # noqa: E402, F401  (registers its queries)
+from tidewright.plans import texts as _texts  # noqa: E402, F401
