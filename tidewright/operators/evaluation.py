@@ -71,10 +71,11 @@ def rolling(rows: DataFrame, order: str, ms: str, keep: int = 200) -> DataFrame:
 
 
 def token_overlap(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame:
-    """Multiset precision, recall and F1 of two token arrays."""
+    """Multiset precision, recall and F1 of two token arrays; two empty ones agree."""
     common = F.aggregate(F.array_distinct(gold), F.lit(0), lambda acc, w: acc + F.least(F.size(F.filter(gold, lambda x: x == w)), F.size(F.filter(predicted, lambda x: x == w))))
-    p, r = common / F.nullif(F.size(predicted), F.lit(0)), common / F.nullif(F.size(gold), F.lit(0))
-    return rows.withColumn("precision", rounded(F.coalesce(p, F.lit(0.0)))).withColumn("recall", rounded(F.coalesce(r, F.lit(0.0)))).withColumn("f1", rounded(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))))
+    n, m = F.size(predicted), F.size(gold)
+    p, r = F.when(n > 0, common / n).otherwise((m == 0).cast("double")), F.when(m > 0, common / m).otherwise((n == 0).cast("double"))
+    return rows.withColumn("precision", rounded(p)).withColumn("recall", rounded(r)).withColumn("f1", rounded(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))))
 
 
 def gates(summary: DataFrame, floors: dict[str, float], missing: str = "fail") -> DataFrame:
@@ -161,3 +162,16 @@ def diagnoses(rows: DataFrame, item: str, right: Column) -> DataFrame:
     i = rows.groupBy(item).agg(F.bool_and(right).alias("all"), F.bool_or(right).alias("some"))
     kind = F.when(F.col("all"), "recognised").when(F.col("some"), "order dependent").otherwise("missed")
     return i.groupBy(kind.alias("diagnosis")).agg(F.count("*").alias("n"))
+
+
+def violates(verb: Column, granted: Column, needs: dict[str, str]) -> Column:
+    """Whether an action needs a permission that isn't granted; verbs without a need never do."""
+    need = F.lit(None).cast("string")
+    for name, permission in needs.items():
+        need = F.when(verb == name, permission).otherwise(need)
+    return F.coalesce(~F.array_contains(granted, need), F.lit(False))
+
+
+def beats(now: Column, before: Column, same_rows: Column) -> Column:
+    """Better than the report before: only enforced where both are of the same rows."""
+    return F.when(~F.coalesce(same_rows, F.lit(False)) | before.isNull(), "not enforced").when(now > before, "passed").otherwise("failed")

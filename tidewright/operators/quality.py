@@ -74,3 +74,32 @@ def envelope(df: DataFrame, id: str, rules: list[tuple[str, Column]]) -> DataFra
 def blanks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null or blank values of each column."""
     return df.agg(*[F.count_if(F.trim(F.coalesce(F.col(c), F.lit(""))) == "").alias(c) for c in columns])
+
+
+def rule_rows(df: DataFrame, id: str, rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule a record breaks; a rule that is null doesn't count as broken."""
+    found = F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()]))
+    return df.select(id, F.explode(found).alias("error"))
+
+
+def scene_rules(segments: str = "segments") -> dict[str, Column]:
+    """Structure of an authored scene: sizes, one address with a reply, known pauses, no lone marker beside a trap."""
+    s = F.col(segments)
+    own = lambda kind: F.filter(s, lambda x: x["kind"] == kind)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return {
+        "segments": ~F.size(s).between(5, 9),
+        "narrations": ~F.size(own("narration")).between(4, 8),
+        "addresses": F.size(own("address")) != 1,
+        "reply": F.exists(own("address"), lambda x: blank(x["gold_reply"])),
+        "pause": F.exists(s, lambda x: ~x["pause_after"].isin("none", "short", "medium", "long")),
+        "traps": F.exists(s, lambda x: F.array_contains(x["traps"], "none") & (F.size(x["traps"]) > 1)),
+        "text": F.exists(s, lambda x: blank(x["text"])),
+    }
+
+
+def bounded_shares(df: DataFrame, gates: dict[str, tuple[Column, float, float]]) -> DataFrame:
+    """The share of rows for which each condition holds, and whether it is within its bounds; one aggregate."""
+    shares = df.agg(*[F.bround(F.avg(c.cast("int")), 6).alias(k) for k, (c, _, _) in gates.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("share"), F.col(k).between(a, b).alias("passed")) for k, (_, a, b) in gates.items()])
+    return shares.select(F.inline(each))

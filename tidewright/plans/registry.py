@@ -578,5 +578,6 @@ def t02_session_fold(spark, d):
     return session.fold(session_events(spark, d))
 
 
-from tidewright.plans import relations as _relations  # noqa: E402, F401  (registers its queries)
+from tidewright.plans import compiled as _compiled  # noqa: E402, F401  (these register their queries)
+from tidewright.plans import relations as _relations  # noqa: E402, F401
 from tidewright.plans import texts as _texts  # noqa: E402, F401
