@@ -141,6 +141,25 @@ def test_raking_meets_marginals(spark):
     assert len(both) == 3000 and np.allclose(both["weight_x"], both["weight_y"]) and np.allclose(both["p_x"], both["p_y"])
 
 
+def test_sample_meets_targets_past_one(spark):
+    rows = [(i, "w " * 20 + ("licensed under x" if i % 20 == 0 else ""), f"s{i % 3}") for i in range(6000)]
+    d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 10 == 1, "fr").otherwise("en"))
+    target = {"source": {"s0": 0.2, "s1": 0.3, "s2": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"license": 0.3, "prose": 0.7}}
+    told = mixing.weigh(d, targets=target, rounds=40).select("row.doc_id", "weight", "copies")
+    wide = mixing.weigh(d, targets=target, rounds=40, local_cells=0).select("row.doc_id", F.col("copies").alias("wide"))
+    both = told.join(wide, "doc_id").toPandas()
+    assert len(both) == 6000 and (both["copies"] == both["wide"]).all()
+    assert both["weight"].max() > 2 and ((both["copies"] - 0.5 * both["weight"]).abs() < 1).all()
+    got = mixing.mix(d, targets=target, rounds=40).toPandas()
+    assert got.groupby("doc_id").size().to_dict() == both[both["copies"] > 0].set_index("doc_id")["copies"].to_dict()
+    got["topic"] = got["text"].str.contains("licensed").map({True: "license", False: "prose"})
+    tokens = got["text"].str.split().str.len()
+    for name, shares in target.items():
+        for value, share in shares.items():
+            assert tokens[got[name] == value].sum() / tokens.sum() == pytest.approx(share, abs=0.02)
+    assert tokens.sum() / sum(len(t.split()) for _, t, _ in rows) == pytest.approx(0.5, abs=0.02)
+
+
 def test_mixing_edges(spark):
     d = docs(spark, [(None, None), (1, ""), (2, "a b"), (2, "a b")]).withColumn("lang", F.lit(None).cast("string"))
     assert mixing.weigh(d).count() == 4

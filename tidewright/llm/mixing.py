@@ -1,9 +1,11 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
 Token weights are raked to the target shares of several marginals (source,
-language, topic) on the table of their joint cells; each document is then kept
-with its cell's calibrated probability, decided by a hash of its id, so the
-same documents stay whatever the partitioning.
+language, topic) on the table of their joint cells. ``mix`` takes a document
+as often as its cell's factor times the budget says in the mean, more than once
+where that passes 1, so the sample meets the targets. What is left of the mean
+is decided by a hash of the id, so the same documents stay whatever the
+partitioning.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def aims(held: dict, shares: dict | None) -> dict:
 
 
 def rake_local(cells: pd.DataFrame, targets: dict, rounds: int, keep: float) -> pd.DataFrame:
-    """``factor`` (raked weight of a token) and ``p`` for each cell, in numpy."""
+    """``factor`` (raked weight of a token), ``p`` and ``mean`` (copies) for each cell, in numpy."""
     tokens = cells["tokens"].to_numpy("f8")
     w, total = tokens.copy(), tokens.sum()
     margins = []
@@ -78,7 +80,8 @@ def rake_local(cells: pd.DataFrame, targets: dict, rounds: int, keep: float) ->
     for _ in range(SCALE_ROUNDS):
         got = (tokens * np.minimum(1, scale * factor)).sum()
         scale = scale * keep * total / got if got > 0 else scale
-    return cells.assign(factor=factor, p=np.minimum(1, scale * factor))
+    raked = (tokens * factor).sum()
+    return cells.assign(factor=factor, p=np.minimum(1, scale * factor), mean=factor * (keep * total / raked if raked > 0 else keep))
 
 
 def rake_wide(cells: DataFrame, targets: dict, rounds: int, keep: float) -> DataFrame:
@@ -107,7 +110,9 @@ def rake_wide(cells: DataFrame, targets: dict, rounds: int, keep: float) -> Data
     for _ in range(SCALE_ROUNDS):
         got = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * F.col("factor")))).first()[0] or 0
         scale = scale * keep * total / got if got > 0 else scale
-    return now.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("factor"))).select(*cells.columns, "factor", "p")
+    raked = now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0] or 0
+    now = now.withColumn("mean", F.col("factor") * F.lit(keep * total / raked if raked > 0 else keep))
+    return now.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("factor"))).select(*cells.columns, "factor", "p", "mean")
 
 
 def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -116,12 +121,15 @@ def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
 
 def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 7, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, and tokens, weight, p, kept.
+    """All columns of ``docs`` in a struct ``row``, and tokens, weight, p, kept, copies.
 
     targets: marginal to shares; a marginal named ``topic`` is derived from the
     text, others are columns. ``keep`` is the share of all tokens to keep in
-    the mean; where a cell's probability would pass 1 it is 1, and the others
-    are raised to fill the budget. A null is a value of its own; a value
+    the mean. ``copies`` is how often the sample holds the document: weight
+    times the budget in the mean, so token shares of the sample are those of
+    the weights. ``p`` and ``kept`` take a document once at most: where a
+    cell's probability would pass 1 it is 1, and the others are raised to fill
+    the budget, so their shares fall short of such targets. A null is a value of its own; a value
     without a target keeps the share it holds. Null and empty texts have no
     tokens and share their cell's probability. Rows of one doc_id share one
     decision if they share a cell. An empty table gives no rows.
@@ -135,21 +143,24 @@ def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, ro
     cells = cut(own.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= local_cells:
         told = rake_local(cells.toPandas(), targets, rounds, keep)
-        schema = ", ".join(f"`{n}` string" for n in names) + ", factor double, p double"
-        rows = [(*(None if pd.isna(x) else x for x in r[:-2]), *map(float, r[-2:])) for r in told[[*names, "factor", "p"]].itertuples(index=False)]
+        schema = ", ".join(f"`{n}` string" for n in names) + ", factor double, p double, mean double"
+        rows = [(*(None if pd.isna(x) else x for x in r[:-3]), *map(float, r[-3:])) for r in told[[*names, "factor", "p", "mean"]].itertuples(index=False)]
         told = F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # local_cells rows at most
     else:
         told = rake_wide(cells, targets, rounds, keep)
-    told = told.select(*[F.col(n).alias(f"_{n}") for n in names], "factor", "p")
+    told = told.select(*[F.col(n).alias(f"_{n}") for n in names], "factor", "p", "mean")
     same = F.lit(True)
     for n in names:
         same = same & own[n].eqNullSafe(told[f"_{n}"])
-    return own.join(told, same).select("row", "tokens", F.col("factor").alias("weight"), "p", (chance(F.col("row.doc_id"), seed) < F.col("p")).alias("kept"))
+    drawn = chance(F.col("row.doc_id"), seed)
+    copies = F.floor("mean") + (drawn < F.col("mean") - F.floor("mean")).cast("long")
+    return own.join(told, same).select("row", "tokens", F.col("factor").alias("weight"), "p", (drawn < F.col("p")).alias("kept"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``weigh`` keeps, with the columns of ``docs``."""
-    return weigh(docs, **options).where("kept").select("row.*")
+    """The sample, with the columns of ``docs``: each document as often as ``weigh`` has copies of it."""
+    told = weigh(docs, **options).where("copies > 0")
+    return told.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def oracle_sql(keep: float = 0.5, rounds: int = ROUNDS, seed: int = 7) -> str:
