@@ -120,6 +120,28 @@ def test_secret_places(spark):
     assert secretscan.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    label, body = "A" * 40 + " ", "QUJD\n" * 6000
+    long = {
+        "assign": "token=" + "Zq" * 300,
+        "access": "AKIA" + "Q7" * 200,
+        "hex": "0a" * 300,
+        "jwt": f"eyJ{'Zz' * 300}.{'Yy' * 300}.{'Xx' * 300}",
+        "key": f"-----BEGIN {label}PRIVATE KEY-----\n{body}-----END {label}PRIVATE KEY-----",
+        "url user": f"https://{'u_' * 100}:x-oauth@",
+        "url password": f"https://user:{'P_' * 100}@",
+        "vendor ghp": "ghp_" + "Zz" * 40,
+        "vendor xox": "xoxp-" + "Zz9-" * 40,
+        "vendor sk": "sk_live_" + "Zz" * 60,
+    }
+    rows = [(i, f"<< {t}<< ") for i, t in enumerate(long.values())]
+    got = {r.doc_id: r.spans for r in secretscan.report(secretscan.scan(docs(spark, rows))).collect()}
+    for i, (name, t) in enumerate(long.items()):
+        assert f"{name.split()[0]}:3:{3 + len(t)}" in got[i].split(","), name
+    ends = [(0, "sk_live_" + "Z" * 64 + "one", "s0"), (1, "sk_live_" + "Z" * 64 + "two", "s1")]
+    assert [r.n_live for r in secretscan.report(secretscan.scan(docs(spark, ends))).collect()] == [1, 1]
+
+
 # --- mixing -------------------------------------------------------------------
 
 
