@@ -57,6 +57,12 @@ def test_fast_and_plain_scores_agree():
     assert np.allclose(toxicity.infer(p, table, ids, mask > 0), toxicity.forward(p, toxicity.gates_of(p, x), mask)[0], atol=1e-4)
 
 
+def test_grams_of_long_runs_are_whole():
+    odds = toxicity.Odds(grams={"zorkan": 2.0})
+    run = "a" * 47 + "zorkan" + "b" * 47
+    assert len(run) == 100 and odds.inputs(run)[6] == odds.inputs("zorkan")[6] == 2.0
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 56, 57, 400):
         seen = {i for s in toxicity.windows(n) for i in range(s, min(n, s + toxicity.WINDOW))}

@@ -44,7 +44,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams_of(word: str) -> list[list[str]]:
-    w = f"^{word[:40]}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
+    w = f"^{word}$"
     return [[w[i : i + n] for i in range(len(w) - n + 1)] for n in GRAMS]
 
 
