@@ -10,9 +10,7 @@ partitioning.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewright.llm._common import cut, removed, written
@@ -26,10 +24,8 @@ TARGETS = {
     "lang": {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15},
     "topic": {"license": 0.05, "table": 0.1, "contact": 0.15, "prose": 0.7},
 }
-#: Cell tables up to so many rows (counted first) are raked by numpy on the driver and broadcast; larger ones stay DataFrames.
-LOCAL_CELLS = 200_000
-#: Rounds of raking, and of fitting the probabilities' scale to the budget.
-ROUNDS, SCALE_ROUNDS = 12, 12
+#: Raking ends when no marginal's share is off its target by more than TOLERANCE of it, or after MOST_ROUNDS (targets that no weights meet).
+TOLERANCE, MOST_ROUNDS = 1e-10, 40
 
 
 def topic_of(text: Column) -> Column:
@@ -51,42 +47,14 @@ def chance(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def aims(held: dict, shares: dict | None) -> dict:
-    """Target share of each value that occurs. Values without a target keep the share they hold."""
-    total = sum(held.values()) or 1.0
-    listed = {v: (h**0.5 if shares is None else shares[v]) for v, h in held.items() if shares is None or v in shares}
-    free = sum(h for v, h in held.items() if v not in listed) / total
-    whole = sum(listed.values())
-    return {v: (1 - free) * listed[v] / whole if v in listed and whole else h / total for v, h in held.items()}
+def rake(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, keep: float) -> DataFrame:
+    """``factor`` (raked weight of a token) and ``mean`` (copies) for each cell, by aggregates and joins.
 
-
-def rake_local(cells: pd.DataFrame, targets: dict, rounds: int, keep: float) -> pd.DataFrame:
-    """``factor`` (raked weight of a token), ``p`` and ``mean`` (copies) for each cell, in numpy."""
-    tokens = cells["tokens"].to_numpy("f8")
-    w, total = tokens.copy(), tokens.sum()
-    margins = []
-    for name, shares in targets.items():
-        code, values = pd.factorize(cells[name], use_na_sentinel=False)
-        held = np.bincount(code, tokens, len(values))
-        values = [None if pd.isna(v) else v for v in values]
-        share = aims(dict(zip(values, held, strict=True)), shares)
-        margins.append((code, np.array([share[v] for v in values])))
-    for _ in range(rounds):
-        for code, share in margins:
-            held = np.bincount(code, w, len(share))
-            w = w * np.where(held > 0, share * total / np.where(held > 0, held, 1), 0)[code]
-    factor = np.where(tokens > 0, w / np.where(tokens > 0, tokens, 1), 1.0)
-    scale = keep
-    for _ in range(SCALE_ROUNDS):
-        got = (tokens * np.minimum(1, scale * factor)).sum()
-        scale = scale * keep * total / got if got > 0 else scale
-    raked = (tokens * factor).sum()
-    return cells.assign(factor=factor, p=np.minimum(1, scale * factor), mean=factor * (keep * total / raked if raked > 0 else keep))
-
-
-def rake_wide(cells: DataFrame, targets: dict, rounds: int, keep: float) -> DataFrame:
-    """The same for cell tables of any size: aggregates and joins, written out each round."""
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)  # numbers only come to the driver
+    Cells stay distributed however many there are; each round is written out,
+    and only sums and the largest deviation come to the driver.
+    """
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for name, shares in targets.items():
         held = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("h"))
@@ -99,20 +67,22 @@ def rake_wide(cells: DataFrame, targets: dict, rounds: int, keep: float) -> Data
         share = F.when(F.col("raw").isNull(), F.col("h") / (total or 1.0)).otherwise((1 - (free or 0.0) / (total or 1.0)) * F.col("raw") / F.lit(whole or 1.0))
         now = _beside(now, held.select(name, share.alias(f"_{name}")), name)
     now, path = written(now)
-    for _ in range(rounds):
+    for _ in range(most_rounds if total else 0):
+        raked, seen = now, []
         for name in targets:
-            held = now.groupBy(name).agg(F.sum("w").alias("h"))
-            raked = _beside(now, held, name).withColumn("w", F.when(F.col("h") > 0, F.col("w") * F.col(f"_{name}") * total / F.col("h")).otherwise(0.0)).drop("h")
-            before, (now, path) = path, written(raked)
-            removed(cells.sparkSession, before)
+            held = raked.groupBy(name).agg(F.sum("w").alias("h"))
+            raked = _beside(raked, held, name)
+            seen.append(Observation())
+            off = F.max(F.when(F.col("h") > 0, F.abs(F.col("h") / (F.col(f"_{name}") * (total or 1.0)) - 1)))
+            raked = raked.observe(seen[-1], off.alias("off"))
+            raked = raked.withColumn("w", F.when(F.col("h") > 0, F.col("w") * F.col(f"_{name}") * total / F.col("h")).otherwise(0.0)).drop("h")
+        before, (now, path) = path, written(raked)
+        removed(spark, before)
+        if max((o.get["off"] or 0.0) for o in seen) <= tolerance:
+            break
     now = now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
-    scale = keep
-    for _ in range(SCALE_ROUNDS):
-        got = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(scale) * F.col("factor")))).first()[0] or 0
-        scale = scale * keep * total / got if got > 0 else scale
-    raked = now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0] or 0
-    now = now.withColumn("mean", F.col("factor") * F.lit(keep * total / raked if raked > 0 else keep))
-    return now.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("factor"))).select(*cells.columns, "factor", "p", "mean")
+    mass = now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0] or 0
+    return now.withColumn("mean", F.col("factor") * F.lit(keep * total / mass if mass > 0 else keep)).select(*cells.columns, "factor", "mean")
 
 
 def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -120,19 +90,18 @@ def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     return left.join(r, left[name].eqNullSafe(r["_key"])).drop("_key")
 
 
-def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, rounds: int = ROUNDS, seed: int = 7, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, and tokens, weight, p, kept, copies.
+def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS, seed: int = 7) -> DataFrame:
+    """All columns of ``docs`` in a struct ``row``, and tokens, weight, mean, copies.
 
     targets: marginal to shares; a marginal named ``topic`` is derived from the
-    text, others are columns. ``keep`` is the share of all tokens to keep in
-    the mean. ``copies`` is how often the sample holds the document: weight
-    times the budget in the mean, so token shares of the sample are those of
-    the weights. ``p`` and ``kept`` take a document once at most: where a
-    cell's probability would pass 1 it is 1, and the others are raised to fill
-    the budget, so their shares fall short of such targets. A null is a value of its own; a value
-    without a target keeps the share it holds. Null and empty texts have no
-    tokens and share their cell's probability. Rows of one doc_id share one
-    decision if they share a cell. An empty table gives no rows.
+    text, others are columns. ``keep`` is the share of all tokens that the
+    sample holds in the mean. ``mean`` is weight times that budget, so the
+    sample's expected token shares are the targets; ``copies`` is how often the
+    sample holds the document: ``mean`` rounded down, and once more with a
+    probability of what is left. A null is a value of its own; a value without
+    a target keeps the share it holds. Null and empty texts have no tokens and
+    share their cell's mean. Rows of one doc_id share one decision if they
+    share a cell. An empty table gives no rows.
     """
     targets = TARGETS if targets is None else targets
     names = list(targets)
@@ -141,20 +110,14 @@ def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, ro
         own = own.withColumn(name, topic_of(F.col("row.text")) if name == "topic" else F.col(f"row.{name}").cast("string"))
     own = own.withColumn("tokens", n_tokens(F.col("row.text")))
     cells = cut(own.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
-    if cells.count() <= local_cells:
-        told = rake_local(cells.toPandas(), targets, rounds, keep)
-        schema = ", ".join(f"`{n}` string" for n in names) + ", factor double, p double, mean double"
-        rows = [(*(None if pd.isna(x) else x for x in r[:-3]), *map(float, r[-3:])) for r in told[[*names, "factor", "p", "mean"]].itertuples(index=False)]
-        told = F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # local_cells rows at most
-    else:
-        told = rake_wide(cells, targets, rounds, keep)
-    told = told.select(*[F.col(n).alias(f"_{n}") for n in names], "factor", "p", "mean")
+    # a table with files of known size: joined by broadcast only where that is small enough for the session's limit
+    told, _ = written(rake(cells, targets, tolerance, most_rounds, keep))
+    told = told.select(*[F.col(n).alias(f"_{n}") for n in names], "factor", "mean")
     same = F.lit(True)
     for n in names:
         same = same & own[n].eqNullSafe(told[f"_{n}"])
-    drawn = chance(F.col("row.doc_id"), seed)
-    copies = F.floor("mean") + (drawn < F.col("mean") - F.floor("mean")).cast("long")
-    return own.join(told, same).select("row", "tokens", F.col("factor").alias("weight"), "p", (drawn < F.col("p")).alias("kept"), copies.alias("copies"))
+    copies = F.floor("mean") + (chance(F.col("row.doc_id"), seed) < F.col("mean") - F.floor("mean")).cast("long")
+    return own.join(told, same).select("row", "tokens", F.col("factor").alias("weight"), "mean", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -163,7 +126,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return told.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-def oracle_sql(keep: float = 0.5, rounds: int = ROUNDS, seed: int = 7) -> str:
+def oracle_sql(keep: float = 0.5, rounds: int = MOST_ROUNDS, seed: int = 7) -> str:
     """DuckDB SQL of ``weigh`` over ``documents`` with the default targets."""
     topic = "CASE " + " ".join(f"WHEN lower(coalesce(text, '')) LIKE '{like}' THEN '{name}'" for name, like in TOPICS) + f" ELSE '{OTHER}' END"
     ctes = [
@@ -182,8 +145,7 @@ def oracle_sql(keep: float = 0.5, rounds: int = ROUNDS, seed: int = 7) -> str:
             ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {name}) > 0 THEN w * s_{name} * t / sum(w) OVER (PARTITION BY {name}) ELSE 0 END AS w) FROM w{k}, total)".replace("SELECT * REPLACE", f"SELECT w{k}.* REPLACE"))
             k += 1
     ctes.append(f"f AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 1.0 END AS factor FROM w{k})")
-    ctes.append(f"k0 AS MATERIALIZED (SELECT {keep}::DOUBLE AS s)")
-    for i in range(SCALE_ROUNDS):
-        ctes.append(f"k{i + 1} AS MATERIALIZED (SELECT CASE WHEN g > 0 THEN s * {keep} * t / g ELSE s END AS s FROM (SELECT any_value(s) AS s, sum(tokens * least(1.0, s * factor)) AS g FROM f, k{i}), total)")
-    final = f"SELECT doc_id, own.tokens, round(factor, 6) AS weight, round(least(1.0, s * factor), 6) AS p, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < least(1.0, s * factor) AS kept FROM own JOIN f ON own.source IS NOT DISTINCT FROM f.source AND own.lang IS NOT DISTINCT FROM f.lang AND own.topic = f.topic, k{SCALE_ROUNDS}"
+    ctes.append(f"g AS MATERIALIZED (SELECT source, lang, topic, factor, factor * {keep} * t / nullif((SELECT sum(tokens * factor) FROM f), 0) AS mean FROM f, total)")
+    drawn = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0"
+    final = f"SELECT doc_id, own.tokens, round(factor, 6) AS weight, round(mean, 6) AS mean, floor(mean)::BIGINT + ({drawn} < mean - floor(mean))::BIGINT AS copies FROM own JOIN g ON own.source IS NOT DISTINCT FROM g.source AND own.lang IS NOT DISTINCT FROM g.lang AND own.topic = g.topic"
     return "WITH " + ",\n".join(ctes) + "\n" + final
