@@ -1,19 +1,23 @@
-"""Near-duplicate vectors by collision counting on one-dimensional projections.
-
-Vectors are sorted along one projection (the sample's main direction) and dealt
-in blocks of that order. Along a unit direction two vectors with cosine >= t
-differ by at most sqrt(2 - 2t), so a block meets only blocks within that
-distance: nothing is lost there. For each pair that meets, ``projections``
-random directions are compared: a pair collides where one vector lies in the
-window centred on the other. The count a pair must reach is the highest that a
-pair of cosine exactly t misses with probability ``miss`` (collisions over
-independent directions are binomial). Pairs that reach it are verified in double
-precision. Equal vectors are one class throughout; within a block pair
-only link counts and a spanning forest leave the task, never all pairs.
+"""Near-duplicate vectors by collision counting on sorted one-dimensional projections.
+
+Vectors are dealt in blocks of their order along one direction (the sample's
+main one). Along a unit direction two vectors with cosine >= t differ by at most
+sqrt(2 - 2t), so a block meets only blocks within that distance: nothing is
+lost there. Where two blocks meet, one is sorted along each of ``projections``
+random directions, and each vector of the other has a window centred on it in
+every one of these orders. A pair collides where one vector's rank lies in the
+other's window; collisions are counted for each pair. The count a pair must
+reach is the highest that a pair of cosine exactly t misses with probability
+``miss`` (collisions over independent directions are binomial). Pairs that
+reach it are verified in double precision. Equal vectors are one class
+throughout; within a block pair only link counts and a spanning forest leave
+the task, never all pairs.
 
 Work grows with the square of the distinct vectors unless the main direction
-separates them (a window on any one direction keeps most of a 64-dimensional
-sphere at t = 0.9); the count costs some 15 ns a pair.
+separates them: a window on any one direction that keeps nearly all pairs at
+t = 0.9 also keeps about half of all pairs of a 64-dimensional sphere, so lists
+of collisions would be longer than the list of all pairs. Counts are therefore
+held for a block pair at a time and never written out.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from tidewright.llm._common import Forest, components, cut, grouped
 
 #: Rows the main direction is taken from (its choice affects speed alone).
 DIRECTION_ROWS = 4096
-#: Steps of a projection's usual size; projections are cut off at 120 steps, which can only add collisions.
-STEPS = 50
+#: Vectors of a block: a twelfth of all within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 1024, 8192
 
 
 def usable(v: Column) -> Column:
@@ -59,8 +63,8 @@ def as_bytes(df: DataFrame, vector: str, columns: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def plan(d: int, threshold: float, projections: int, miss: float) -> tuple[np.ndarray, int, int]:
-    """Directions (d x projections), window in steps, least count. A coordinate's usual size is STEPS steps.
+def plan(d: int, threshold: float, projections: int, miss: float) -> tuple[np.ndarray, float, int]:
+    """Directions (d x projections), half a window's width, least count.
 
     The window is two usual differences of a pair at the threshold wide on
     either side: of the widths that one count serves, this parts random pairs
@@ -70,11 +74,11 @@ def plan(d: int, threshold: float, projections: int, miss: float) -> tuple[np.nd
     a = rng.standard_normal((d, projections))
     a /= np.linalg.norm(a, axis=0)
     far = sqrt(max(0.0, 2 - 2 * threshold))
-    if d < 8:  # a coordinate of a random direction is no bell curve yet: all pairs are verified
-        return a, 127, 0
-    width = 2 * far / sqrt(d)
-    u = np.linspace(-1, 1, 200_001)
-    p = np.maximum(0, 1 - u * u) ** ((d - 3) / 2)
+    width = 2 * far / sqrt(d) + 1e-9
+    if width >= far:  # up to four dimensions every pair at the threshold collides along every direction
+        return a, width, projections
+    u = np.linspace(-1, 1, 200_001)[1:-1]
+    p = (1 - u * u) ** ((d - 3) / 2)
     near = p[np.abs(u) * far <= width].sum() / p.sum()
     chance, least = 0.0, 0
     for k in range(projections):
@@ -82,24 +86,32 @@ def plan(d: int, threshold: float, projections: int, miss: float) -> tuple[np.nd
         if chance > miss:
             break
         least = k + 1
-    return a, min(127, int(np.ceil(width * sqrt(d) * STEPS)) + 1), least
+    return a, width, least
 
 
 def _linked(x: np.ndarray, y: np.ndarray, same: bool, threshold: float, projections: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs (x, y) with cosine >= threshold, each once."""
+    """Indices of the pairs (x, y) with cosine >= threshold, each once. Rows are unit vectors, 65,535 of y at most."""
     directions, width, least = plan(x.shape[1], threshold, projections, miss)
-    step = lambda z: np.ascontiguousarray(np.clip(np.rint(z @ directions * (STEPS * sqrt(z.shape[1]))), -120, 120).astype(np.int8).view(np.uint8).T)
-    p, q = step(x), step(y)
+    p, q = x @ directions, y @ directions
+    order = np.argsort(q, axis=0, kind="stable")
+    rank = np.empty(q.shape, np.uint16)
+    np.put_along_axis(rank, order, np.arange(len(y), dtype=np.uint16)[:, None], 0)
+    sorted_q = np.take_along_axis(q, order, 0)
+    low, size = np.empty(p.shape, np.uint16), np.empty(p.shape, np.uint16)
+    for k in range(p.shape[1]):  # each query's window in the order along this direction
+        low[:, k] = a = np.searchsorted(sorted_q[:, k], p[:, k] - width, "left")
+        size[:, k] = np.searchsorted(sorted_q[:, k], p[:, k] + width, "right") - a
+    rank, low, size = np.ascontiguousarray(rank.T), low.T, size.T
     got: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(x), 64):
-        part = p[:, at : at + 64] + np.uint8(width)
         base = at if same else 0
-        n, other = part.shape[1], q[:, base:]
-        hits = np.zeros((n, other.shape[1]), np.uint8)
-        diff, inside = np.empty_like(hits), np.empty(hits.shape, bool)
-        for a, b in zip(part, other, strict=True):
-            np.subtract(a[:, None], b[None, :], out=diff)
-            np.less_equal(diff, 2 * width, out=inside)
+        here = rank[:, base:]
+        n = min(64, len(x) - at)
+        hits = np.zeros((n, here.shape[1]), np.uint8)
+        place, inside = np.empty(hits.shape, np.uint16), np.empty(hits.shape, bool)
+        for r, lo, many in zip(here, low[:, at : at + n], size[:, at : at + n], strict=True):
+            np.subtract(r[None, :], lo[:, None], out=place)  # ranks below the window wrap around to large numbers
+            np.less(place, many[:, None], out=inside)
             np.add(hits, inside.view(np.uint8), out=hits)
         i, j = np.divmod(np.flatnonzero(hits.ravel() >= least), hits.shape[1])
         i, j = i + at, j + base
@@ -114,14 +126,15 @@ def _linked(x: np.ndarray, y: np.ndarray, same: bool, threshold: float, projecti
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, projections: int = 40, miss: float = 1e-7, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, projections: int = 40, miss: float = 1e-7, block: int | None = None) -> DataFrame:
     """One row a row of ``vectors``: id, n_links, component_id, kept.
 
     n_links counts the other rows with cosine >= threshold; component_id is the
     smallest id reachable by links. Null, zero and non-finite vectors, vectors
     of different lengths and an empty table link nothing: n_links 0, the row's
     own id. Repeated rows count each; a null id is linked and counted but never
-    the smallest, and its row is not kept. Other columns are ignored.
+    the smallest, and its row is not kept. Other columns are ignored. ``block``
+    is the number of vectors in a block; the driver gets two numbers a block.
     """
     kind = kind_of(vectors, vector)
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("ok", usable(F.col("v")))
@@ -144,16 +157,18 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", vector: str = "em
         return pd.Series(out, dtype="f8")
 
     position = F.pandas_udf(along, "double")
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-n // (block or min(MOST_BLOCK, max(LEAST_BLOCK, n // 12)))))
     parts = kept.select("c", "copies", "v", position("v").alias("p")).repartitionByRange(blocks, "p", "c")
     dealt = cut(parts.withColumn("block", F.spark_partition_id()))
-    bounds = dealt.groupBy("block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("block").collect()  # a row a block of 2,048 vectors
-    reach, far = {}, sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    for i, b in enumerate(bounds):
-        reach[b.block] = [x.block for x in bounds[i:] if x.lo - b.hi <= far]
-    meets = [(i, i, j) for i, js in reach.items() for j in js] + [(j, i, j) for i, js in reach.items() for j in js if i != j]
-    pairs = dealt.sparkSession.createDataFrame(pd.DataFrame(meets, columns=["block", "a", "b"]), "block int, a int, b int")
-    each = dealt.join(pairs.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("k")), "block").select("c", "copies", "v", "block", F.explode("k").alias("k")).select("c", "copies", "v", "block", "k.a", "k.b")
+    bounds = dealt.groupBy("block").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).orderBy("block").toPandas()  # a row a block
+    far = sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    # blocks are ranges of one order, so those that a block meets are neighbours of it
+    last = np.searchsorted(bounds["lo"], bounds["hi"] + far, "right") - 1
+    first = np.searchsorted(last, np.arange(len(bounds)), "left")
+    number = bounds["block"].to_numpy()
+    reach = dealt.sparkSession.createDataFrame(pd.DataFrame({"block": number, "at": np.arange(len(bounds)), "first": first, "last": last}), "block int, at int, first int, last int")
+    each = dealt.join(reach, "block").withColumn("other", F.explode(F.sequence("first", "last")))
+    each = each.select("c", "copies", "v", F.col("at").alias("block"), F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame | None:
         rows_out = []
