@@ -132,7 +132,7 @@ def fit(x: np.ndarray, parts: int, *, k: int, target: float, seed: int = 11, hid
     return Router(*w, probes=probes)
 
 
-def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 20, sample_rows: int = 6000, rows_a_part: int = 1024, most_parts: int = 64, target: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 20, sample_rows: int = 8192, target: float = 0.97) -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank, vec_id, score.
 
     ``asks`` holds ids of rows of ``vectors`` that are queries; the candidates
@@ -141,8 +141,10 @@ def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: s
     length than the sample's most common are compared with their like, all of
     them. Repeated rows are candidates each. An empty table gives no rows. The
     router is fitted on at most ``sample_rows`` rows (those of the smallest
-    hashed ids), every row is indexed; parts over 4,096 rows are split in chunks
-    that a query visits one and all.
+    hashed ids), every row is indexed. The number of parts grows with the root of
+    the rows up to a part for 32 sample rows; parts over 4,096 rows are split in
+    chunks that a query visits one and all. A query id that is repeated in
+    ``asks`` is one query; repeated rows of one id are queries each.
     """
     spark, kind = vectors.sparkSession, kind_of(vectors, vector)
     good = vectors.where(usable(F.col(vector))).select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -155,10 +157,10 @@ def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: s
     lengths = pd.Series([len(x) for x in sample])
     d = int(lengths.mode()[0])
     sample = np.array([x for x in sample if len(x) == d])
-    parts = 1
-    while parts * 2 <= most_parts and parts * 2 * rows_a_part <= n and parts * 2 * 32 <= len(sample):
+    parts = 1  # a power of two near half the root of the rows, with 32 sample rows each or more
+    while 16 * parts * parts <= n and 64 * parts <= len(sample):
         parts *= 2
-    shared = spark.sparkContext.broadcast(fit(sample, parts, k=k, target=target))  # bounded by d, hidden units and most_parts
+    shared = spark.sparkContext.broadcast(fit(sample, parts, k=k, target=target))  # bounded by d, hidden units and sample_rows / 32 parts
     wanted = asks.select(F.col(asks.columns[0]).cast("long").alias("id")).distinct()
 
     def route(batches):
@@ -185,7 +187,7 @@ def search(vectors: DataFrame, asks: DataFrame, *, id: str = "vec_id", vector: s
     index = cut(rows.mapInPandas(route, "id long, u long, v binary, ways array<int>"))
     home = index.withColumn("part", F.col("ways")[0])
     asked = index.join(wanted, "id", "left_semi").select("id", "u", "v", F.explode("ways").alias("part"))
-    # a row a part: at most most_parts, and one for each odd vector length
+    # a row a part: at most sample_rows / 32, and one for each odd vector length
     many = home.groupBy("part").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).select("part", "chunks")
     queried = asked.groupBy("part").count().withColumn("blocks", F.ceil(F.col("count") / QUERY_BLOCK).cast("int")).select("part", "blocks")
     dealt = many.join(queried, "part")
