@@ -109,19 +109,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.report(secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-#: Patterns of the SQL where they differ from the operator's: they still cap lengths.
-OP5_SQL_PATTERNS = {
-    "key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----",
-    "url": r"[a-z][a-z0-9+.]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{4,128})@",
-    "vendor": r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk_live_[A-Za-z0-9]{16,64})",
-}
-
-
 def op5_sql() -> str:
     """Places by the lengths before each match, as in the operator; owners by source."""
     parts, union = [], []
     for i, (kind, pattern, group, least) in enumerate(secretscan.KINDS):
-        quoted = OP5_SQL_PATTERNS.get(kind, pattern).replace("'", "''")
+        quoted = pattern.replace("'", "''")
         parts.append(f"""k{i} AS (SELECT row, repo, {i} AS kind, unnest(range(len(m))) AS i, m, v, b FROM (
           SELECT row, repo, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS v, string_split_regex(text, '{quoted}') AS b FROM d) WHERE len(m) > 0)""")
         union.append(f"SELECT row, repo, kind, list_sum(list_transform(b[:i + 1], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[:i], lambda x: length(x))), 0)::BIGINT AS s, length(m[i + 1]) AS n, v[i + 1] AS v FROM k{i} WHERE length(v[i + 1]) >= {least}")
@@ -165,7 +157,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = mixing.weigh(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return told.select(F.col("row.doc_id").alias("doc_id"), "tokens", F.round("weight", 6).alias("weight"), F.round("p", 6).alias("p"), "kept")
+    return told.select(F.col("row.doc_id").alias("doc_id"), "tokens", F.round("weight", 6).alias("weight"), F.round("mean", 6).alias("mean"), "copies")
 
 
 QUERIES = {
