@@ -32,11 +32,11 @@ from tidewright.llm._common import Forest, components, cut, grouped, held, small
 from tidewright.llm.linededup import NO_ID
 
 WORD = re.compile(r"\w+")
-RATE, LEVELS = 3.0, 3
+RATE, LEVELS = 3.5, 4
 #: A bucket over LIMIT members is split, unless its mean similarity is ALIKE or more.
-LIMIT, ALIKE = 8192, 0.4
+LIMIT, ALIKE = 2048, 0.4
 #: Members of a block in brute force by sketches.
-BLOCK = 2048
+BLOCK = 1024
 BITS = 128
 #: Sketch bits that must agree: a pair of similarity 0.8 has fewer with probability below 1e-8.
 AGREE = 94
@@ -62,7 +62,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     known = held("shingle words", dict)
-    if len(known) > 300_000:
+    if len(known) > 150_000:
         known.clear()
     try:
         h = [known[w] for w in found]
@@ -118,7 +118,7 @@ def _agreeing(bits: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def _elsewhere(paths: list[np.ndarray], path: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs that share a leaf before this one, by the paths' first 32 bits."""
+    """Matrix of the pairs that share a leaf before this one, by the paths' 64 bits."""
     who = np.concatenate([np.full(len(p), i) for i, p in enumerate(paths)])
     at = np.concatenate(paths)
     who, at = who[at < path], at[at < path]
@@ -159,7 +159,7 @@ def _compare(threshold: float, exact: bool, words: int):
             ok = np.triu(ok, 1)
         if not ok.any():
             return None
-        ok &= ~_elsewhere([np.asarray(p, np.int32) for p in g["leaves"]], path >> 32, left, right)
+        ok &= ~_elsewhere([np.asarray(p, np.int64) for p in g["leaves"]], path, left, right)
         i, j = np.nonzero(ok)
         if not len(i):
             return None
@@ -294,9 +294,9 @@ def _resolve(docs: DataFrame, words: int, threshold: float, recall: float) -> Da
     for x in leaves[1:]:
         leaf = leaf.union(x)
     leaf = leaf.distinct() if len(leaves) > 1 else leaf
-    own = leaf.groupBy("c").agg(F.collect_list(F.shiftright("path", 32).cast("int")).alias("leaves"))
+    own = leaf.groupBy("c").agg(F.collect_list("path").alias("leaves"))
     members = leaf.join(own.join(classes.select("c", "size", "copies", "sketch"), "c"), "c").select("path", "n", "c", "size", "copies", "sketch", "leaves")
-    columns = "path long, n long, c long, size long, copies long, leaves array<int>"
+    columns = "path long, n long, c long, size long, copies long, leaves array<long>"
     maybe = cut(grouped(_paired(members, F.ceil(F.col("n") / BLOCK).cast("int")), ["path", "a", "b"], _compare(threshold, False, words), columns).distinct())
     texts = keyed.join(maybe.select("c").distinct().join(classes.select("c", "first.d", "first.t"), "c"), ["d", "t"]).dropDuplicates(["d", "t"]).select("c", "text")
     # exact comparison: blocks of 128 members, or 24 blocks and more where that would be over 24
