@@ -13,6 +13,7 @@ driver on a bounded number of labelled rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -323,12 +324,17 @@ def gates_of(p: dict, x: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """A model of the labelled rows that aren't held out, ``most_rows`` of each class at most (smallest MD5 of the id)."""
-    told = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    """A model of the labelled rows that aren't held out, ``most_rows`` of each class at most (smallest MD5 of the id).
+
+    A doc_id with several labels counts as toxic if one of them says so; one
+    with several texts is learnt by the smallest. Other labels than 0 and 1 and
+    null ids are left out.
+    """
+    told = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     learnt = told.where(~held_out(F.col("doc_id"))).withColumn("k", F.md5(F.col("doc_id").cast("string")))
     some = learnt.where("toxic = 1").orderBy("k").limit(most_rows).union(learnt.where("toxic = 0").orderBy("k").limit(most_rows))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # 2 x most_rows ids at most
-    rows = own.dropDuplicates(["doc_id"]).orderBy("k").select("text", "toxic").collect()
+    rows = own.groupBy("doc_id", "k", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy("k", "doc_id").select("text", "toxic").collect()
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
@@ -339,11 +345,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     table gives no rows. Only the text is read by the model.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # words and n-grams of the bounded sample
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # words and n-grams of the bounded sample
 
     def run(texts: pd.Series) -> pd.Series:
         m = shared.value
-        memory = held(("toxicity inputs", id(m)), Memory)
+        memory = held(("toxicity inputs", name), Memory)
         out = [m.scores(list(texts.iloc[a : a + 256]), memory) for a in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(out) if out else [], dtype="f8")
 
