@@ -92,7 +92,7 @@ def vectors(n, d, seed):
     return x
 
 
-@pytest.mark.parametrize("block", [2048, 50])
+@pytest.mark.parametrize("block", [None, 50])
 def test_embedding_dedup_against_brute_force(spark, block):
     x = vectors(700, 32, 1)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
@@ -111,6 +111,16 @@ def test_embedding_dedup_against_brute_force(spark, block):
     assert embdedup.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [1, 2, 3, 5, 8])
+def test_embedding_dedup_in_few_dimensions(spark, d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((300, d))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=100).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(300)] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
 def test_learned_partitions_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, 24)) * 1.5

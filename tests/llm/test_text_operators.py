@@ -1,6 +1,7 @@
 """Chat formatting, line dedup, secret scans, mixing, packing, token files."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -81,6 +82,16 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_lines_of_every_frequency(spark, monkeypatch, share):
+    """All keys joined by broadcast, or all by a shuffle; a line that most documents hold; a text of very many lines."""
+    monkeypatch.setattr(linededup, "HOT_SHARE", share)
+    rows = [(i, f"everywhere the same\nown line number {i}\npair of lines {i // 2}\neverywhere the same") for i in range(300)]
+    rows += [(400, "\n".join(f"line {k % 900} of many here" for k in range(20000))), (401, "line 7 of many here\nline 899 of many here")]
+    found = sorted((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs(spark, rows)).collect())
+    assert found == sorted(lines_by_hand(rows))
+
+
 # --- secrets ------------------------------------------------------------------
 
 
@@ -145,35 +156,21 @@ def test_long_secrets_are_whole(spark):
 # --- mixing -------------------------------------------------------------------
 
 
-def test_raking_meets_marginals(spark):
-    rows = [(i, "w " * (1 + i % 7) + ("licensed under x" if i % 9 == 0 else ""), f"s{i % 3}") for i in range(3000)]
-    d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "fr").otherwise("en"))
-    target = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"en": 0.4, "fr": 0.6}, "topic": {"license": 0.2, "prose": 0.8}}
-    told = mixing.weigh(d, targets=target, keep=0.2, rounds=40).select("row.*", "tokens", "weight", "p", "kept").toPandas()
-    told["topic"] = told["text"].str.contains("licensed").map({True: "license", False: "prose"})
-    mass = told["tokens"] * told["weight"]
-    for name, shares in target.items():
-        for value, share in shares.items():
-            assert mass[told[name] == value].sum() / mass.sum() == pytest.approx(share, abs=1e-3)
-    assert (told["tokens"] * told["p"]).sum() / told["tokens"].sum() == pytest.approx(0.2, abs=0.01)
-    assert told["kept"].mean() == pytest.approx(told["p"].mean(), abs=0.05)
-    wide = mixing.weigh(d, targets=target, keep=0.2, rounds=3, local_cells=0).select("row.doc_id", "weight", "p").toPandas()
-    near = mixing.weigh(d, targets=target, keep=0.2, rounds=3).select("row.doc_id", "weight", "p").toPandas()
-    both = wide.merge(near, on="doc_id")
-    assert len(both) == 3000 and np.allclose(both["weight_x"], both["weight_y"]) and np.allclose(both["p_x"], both["p_y"])
-
-
-def test_sample_meets_targets_past_one(spark):
+def test_sample_meets_targets(spark):
     rows = [(i, "w " * 20 + ("licensed under x" if i % 20 == 0 else ""), f"s{i % 3}") for i in range(6000)]
     d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 10 == 1, "fr").otherwise("en"))
     target = {"source": {"s0": 0.2, "s1": 0.3, "s2": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"license": 0.3, "prose": 0.7}}
-    told = mixing.weigh(d, targets=target, rounds=40).select("row.doc_id", "weight", "copies")
-    wide = mixing.weigh(d, targets=target, rounds=40, local_cells=0).select("row.doc_id", F.col("copies").alias("wide"))
-    both = told.join(wide, "doc_id").toPandas()
-    assert len(both) == 6000 and (both["copies"] == both["wide"]).all()
-    assert both["weight"].max() > 2 and ((both["copies"] - 0.5 * both["weight"]).abs() < 1).all()
-    got = mixing.mix(d, targets=target, rounds=40).toPandas()
-    assert got.groupby("doc_id").size().to_dict() == both[both["copies"] > 0].set_index("doc_id")["copies"].to_dict()
+    told = mixing.weigh(d, targets=target).select("row.*", "tokens", "weight", "mean", "copies").toPandas()
+    told["topic"] = told["text"].str.contains("licensed").map({True: "license", False: "prose"})
+    assert len(told) == 6000 and told["weight"].max() > 2 and ((told["copies"] - told["mean"]).abs() < 1).all()
+    assert np.allclose(told["mean"], 0.5 * told["weight"])
+    expected = told["tokens"] * told["mean"]
+    assert expected.sum() / told["tokens"].sum() == pytest.approx(0.5, abs=1e-9)
+    for name, shares in target.items():
+        for value, share in shares.items():
+            assert expected[told[name] == value].sum() / expected.sum() == pytest.approx(share, abs=1e-8)
+    got = mixing.mix(d, targets=target).toPandas()
+    assert got.groupby("doc_id").size().to_dict() == told[told["copies"] > 0].set_index("doc_id")["copies"].to_dict()
     got["topic"] = got["text"].str.contains("licensed").map({True: "license", False: "prose"})
     tokens = got["text"].str.split().str.len()
     for name, shares in target.items():
@@ -182,12 +179,20 @@ def test_sample_meets_targets_past_one(spark):
     assert tokens.sum() / sum(len(t.split()) for _, t, _ in rows) == pytest.approx(0.5, abs=0.02)
 
 
+def test_production_sample_expects_its_targets(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    told = mixing.weigh(d).select("row.lang", mixing.topic_of(F.col("row.text")).alias("topic"), "tokens", "mean").toPandas()
+    mass = told["tokens"] * told["mean"]
+    for name in ("lang", "topic"):
+        for value, share in mixing.TARGETS[name].items():
+            assert mass[told[name] == value].sum() / mass.sum() == pytest.approx(share, abs=1e-6)
+
+
 def test_mixing_edges(spark):
     d = docs(spark, [(None, None), (1, ""), (2, "a b"), (2, "a b")]).withColumn("lang", F.lit(None).cast("string"))
     assert mixing.weigh(d).count() == 4
     assert mixing.mix(d).columns == d.columns
     assert mixing.weigh(d.limit(0)).count() == 0
-    assert mixing.weigh(d, local_cells=0).count() == 4
 
 
 # --- tokens -------------------------------------------------------------------
@@ -197,11 +202,10 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-TEXTS = [(0, "Hello there, it's a  test\n\n of \t tokens"), (1, None), (2, ""), (3, "x\u0085y \x1c z <|endoftext|> q"), (4, "word " * 3000), (5, "é" * 5000), (5, "é" * 5000), (None, "no id"), (7, "1234 " * 700)] + [(10 + i, "lorem ipsum " * i) for i in range(60)]
+TEXTS = [(0, "Hello there, it's a  test\n\n of \t tokens"), (1, None), (2, ""), (3, "x\u0085y \x1c z <|endoftext|> q"), (8, "a<|endoftext|> b"), (9, "tab\tnew\n line \n end ... don't 12,5. é! z_y\n"), (4, "word " * 3000), (5, "é" * 5000), (5, "é" * 5000), (None, "no id"), (7, "1234 " * 700)] + [(10 + i, "lorem ipsum " * i) for i in range(60)]
 
 
 def test_packing_is_whole_and_gapless(spark):
@@ -229,6 +233,22 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(docs(spark, TEXTS).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from tidewright.llm.tokens import Encoder
+
+    path, rng = queries.tokenizer_path(), random.Random(3)
+    plain, enc = Tokenizer.from_file(path), Encoder(path, memory=500)
+    parts = ["a", "bc", "Zoë", "don't", " ", " ", "  ", "\n", "\n", "\t", "\r", ".", ",", "...", "12", "\xa0", "\u3000", "<|endoftext|>", "'s", "é", "😀", "\x1c", "_", "中", "\x85", "\x0b", "x" * 70]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert enc.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    plain.encode_special_tokens = True
+    text = "as text <|endoftext|> here"
+    assert Encoder(path, special_as_text=True).ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_classes_fill_exactly():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1025, 5000)
