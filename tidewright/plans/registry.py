@@ -512,11 +512,6 @@ def k13_dedup_keep_first(spark, d):
     return K.keep_first(t(spark, d, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id", "copies")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4096")
-def k16_length_filter(spark, d):
-    return t(spark, d, "documents").where("n_chars <= 4096").select("doc_id", "n_chars")
-
-
 @query(f"""WITH x AS (SELECT *, {SQL_SPLIT} AS split FROM documents) SELECT 'text' AS kind, count(*) AS shared FROM (SELECT text FROM x WHERE split = 'train' INTERSECT SELECT text FROM x WHERE split = 'dev')
 UNION ALL SELECT 'source', count(*) FROM (SELECT source FROM x WHERE split = 'train' INTERSECT SELECT source FROM x WHERE split = 'dev')""")
 def u06_leakage(spark, d):
@@ -524,11 +519,6 @@ def u06_leakage(spark, d):
     return K.leakage(x.where("split = 'train'"), x.where("split = 'dev'"), {"text": F.col("text"), "source": F.col("source")})
 
 
-@query("SELECT source, count(*) AS n, count(*) FILTER (n_chars > 4096) AS removed FROM documents GROUP BY 1")
-def a09_removed_audit(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 4096).alias("removed"))
-
-
 @query("SELECT source, sum(n)::BIGINT AS total, round_even(coalesce(sum(n) FILTER (k <= 4), 0) / sum(n), 6) AS top4 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)) GROUP BY source")
 def a35_top4_share(spark, d):
     n = t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
@@ -580,4 +570,5 @@ def t02_session_fold(spark, d):
 
 from tidewright.plans import compiled as _compiled  # noqa: E402, F401  (these register their queries)
 from tidewright.plans import relations as _relations  # noqa: E402, F401
+from tidewright.plans import reports as _reports  # noqa: E402, F401
 from tidewright.plans import texts as _texts  # noqa: E402, F401
