@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import linededup, mixing, packing, shinglejoin, toxicity
-from tidewright.llm._common import shared_dir
+from tidewright.llm._common import removed, shared_dir
 from tidewright.llm.queries import END_ID, tokenizer_path
 
 
@@ -59,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a later stage has read is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
         docs = spark.read.parquet(f"{where}/{k}-{name}")
+        if k:
+            removed(spark, f"{where}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
