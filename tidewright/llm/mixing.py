@@ -25,7 +25,7 @@ TARGETS = {
     "topic": {"license": 0.05, "table": 0.1, "contact": 0.15, "prose": 0.7},
 }
 #: Raking ends when no marginal's share is off its target by more than TOLERANCE of it, or after MOST_ROUNDS (targets that no weights meet).
-TOLERANCE, MOST_ROUNDS = 1e-10, 40
+TOLERANCE, MOST_ROUNDS = 1e-10, 20
 
 
 def topic_of(text: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm._common import held, small_batches
+from tidewright.llm._common import held, let_go, small_batches
 
 WORD = re.compile(r"[^\W\d_]+|\d+")
 #: Words of a window and words from one window's start to the next.
@@ -63,20 +63,28 @@ class Odds:
     @classmethod
     def of(cls, texts: list[list[str]], labels: np.ndarray) -> Odds:
         out, n1, n0 = cls(), labels.sum() + 2.0, (1 - labels).sum() + 2.0
-        seen = [[Counter(), Counter()], [Counter(), Counter()]]
-        for words, y in zip(texts, labels, strict=True):
-            own = set(words)
-            seen[0][int(y)].update(own)
-            seen[1][int(y)].update({g for w in own for gs in grams_of(w) for g in gs})
-        for (no, yes), kept, least in ((seen[0], out.words, 3), (seen[1], out.grams, 6)):
-            for k in yes.keys() | no.keys():
-                a, b = no[k], yes[k]
-                if a + b >= least:
-                    odds = np.log((b + 0.5) / n1) - np.log((a + 0.5) / n0)
-                    if abs(odds) > 0.4:
-                        kept[k] = float(np.clip(odds, -4, 4) / 2)
+        sets = [set(words) for words in texts]
+        cut = lambda w, n: (w[i : i + n] for i in range(len(w) - n + 1))
+        out._count(sets, labels, lambda own: own, out.words, 3, n1, n0)
+        for n in GRAMS:  # one length at a time, so that few are held at once
+            out._count(sets, labels, lambda own, n=n: {g for w in own for g in cut(f"^{w}$", n)}, out.grams, 6, n1, n0)
         return out
 
+    @staticmethod
+    def _count(sets: list[set], labels: np.ndarray, pick: Callable, kept: dict, least: int, n1: float, n0: float) -> None:
+        """Keep the log-odds of what ``least`` texts or more hold. A count is that of toxic texts times 2^32, plus the others'."""
+        seen: dict[str, int] = {}
+        for own, y in zip(sets, labels, strict=True):
+            step = 1 << 32 if y else 1
+            for k in pick(own):
+                seen[k] = seen.get(k, 0) + step
+        for k, both in seen.items():
+            b, a = both >> 32, both & 0xFFFFFFFF
+            if a + b >= least:
+                odds = np.log((b + 0.5) / n1) - np.log((a + 0.5) / n0)
+                if abs(odds) > 0.4:
+                    kept[k] = float(np.clip(odds, -4, 4) / 2)
+
     def inputs(self, word: str) -> list[float]:
         out = [self.words.get(word, 0.0), float(word in self.words)]
         for gs in grams_of(word):
@@ -248,7 +256,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, rounds: int
     """Fit on labelled texts; without both labels the model gives every text the labels' mean."""
     y = np.array(labels, "f4")
     rng = np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
+    same: dict[str, str] = {}
+    words = [[same.setdefault(w, w) for w in words_of(t)] for t in texts]  # each word once in memory
     p = fresh(rng)
     if not len(y) or y.min() == y.max():
         mean = float(y.mean()) if len(y) else 0.0
@@ -270,6 +279,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, rounds: int
         data.append((own, mask))
         owner.append(len(starts))
     X, M = np.concatenate([d[0] for d in data]), np.concatenate([d[1] for d in data])
+    del data
     doc = np.repeat(np.arange(len(y)), owner)
     edge = np.concatenate([[0], np.cumsum(owner)[:-1]])
     # a first guess of each window: its strongest word
@@ -278,8 +288,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, rounds: int
 
     def scored() -> np.ndarray:
         out = np.empty(len(X), "f4")
-        for a in range(0, len(X), 4096):
-            out[a : a + 4096] = forward(p, gates_of(p, X[a : a + 4096].transpose(1, 0, 2)), M[a : a + 4096].T)[0]
+        for a in range(0, len(X), 1024):
+            out[a : a + 1024] = forward(p, gates_of(p, X[a : a + 1024].transpose(1, 0, 2)), M[a : a + 1024].T)[0]
         return out
 
     for epoch in range(rounds):
@@ -335,7 +345,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     some = learnt.where("toxic = 1").orderBy("k").limit(most_rows).union(learnt.where("toxic = 0").orderBy("k").limit(most_rows))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")  # 2 x most_rows ids at most
     rows = own.groupBy("doc_id", "k", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy("k", "doc_id").select("text", "toxic").collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    model = train([r.text for r in rows], [r.toxic for r in rows])
+    del rows
+    let_go()  # what fitting took goes back to the system
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
