@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +19,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    temporary folder of this machine stands in for it.
+    Only on one machine (a local master, tests) and where
+    ``spark.checkpoint.dir`` is unset does a temporary folder stand in for it; a
+    cluster's session must name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidewright-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -140,11 +147,20 @@ def held(name, make: Callable):
     beside the next one's.
     """
     if name not in _held:
-        _held.clear()
+        let_go()
         _held[name] = make()
     return _held[name]
 
 
+def let_go() -> None:
+    """Drop what a worker process remembers, and give the pages back to the system."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Forest:
     """Union-find over small integers, smallest member as root."""
 
