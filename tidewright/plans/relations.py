@@ -34,10 +34,10 @@ def j03_respond_target(spark, d):
     return c.where("role = 'assistant'").select("conv_id", "turn").join(users, ["conv_id", "turn"], "left")
 
 
-@query("SELECT count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS both_sides, count(*) FILTER (p IS NULL) AS gold_only, count(*) FILTER (g IS NULL) AS predicted_only FROM (SELECT doc_id, 1 AS g FROM labels) FULL JOIN (SELECT doc_id, 1 AS p FROM labels WHERE doc_id % 5 <> 0) USING (doc_id)")
+@query("SELECT count(*) FILTER (g IS NOT NULL AND p IS NOT NULL) AS both_sides, count(*) FILTER (p IS NULL) AS gold_only, count(*) FILTER (g IS NULL) AS predicted_only FROM (SELECT doc_id, 1 AS g FROM labels) FULL JOIN (SELECT doc_id, 1 AS p FROM labels WHERE quality = 1 OR toxic = 0) USING (doc_id)")
 def j04_aligned(spark, d):
     x = t(spark, d, "labels")
-    return E.alignment(x, x.where("doc_id % 5 <> 0"), "doc_id")
+    return E.alignment(x, x.where("quality = 1 OR toxic = 0"), "doc_id")
 
 
 @query("SELECT l.doc_id, quality FROM labels l WHERE EXISTS (SELECT 1 FROM labels m WHERE m.doc_id = l.doc_id AND m.quality <> m.toxic)")
@@ -143,9 +143,9 @@ def a31_fingerprint(spark, d):
     return K.fingerprint(t(spark, d, "documents"), "doc_id", F.sha2("text", 256))
 
 
-@query("SELECT round_even(avg((quality = toxic)::INT) FILTER (doc_id % 3 <> 0), 6) AS accuracy, count(*) FILTER (quality = 1 AND toxic = 0 AND doc_id % 3 <> 0) AS missed, count(*) FILTER (quality = 0 AND toxic = 1 AND doc_id % 3 <> 0) AS false_fires FROM labels")
+@query("SELECT round_even(avg((quality = toxic)::INT), 6) AS accuracy, count(*) FILTER (quality = 1 AND toxic = 0) AS missed, count(*) FILTER (quality = 0 AND toxic = 1) AS false_fires FROM labels")
 def a33_closed_loop(spark, d):
-    x = t(spark, d, "labels").where("doc_id % 3 <> 0")
+    x = t(spark, d, "labels")
     q, p = F.col("quality"), F.col("toxic")
     return x.agg(E.rounded(F.avg((q == p).cast("int"))).alias("accuracy"), F.count_if((q == 1) & (p == 0)).alias("missed"), F.count_if((q == 0) & (p == 1)).alias("false_fires"))
 
