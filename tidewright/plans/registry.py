@@ -571,4 +571,5 @@ def t02_session_fold(spark, d):
 from tidewright.plans import compiled as _compiled  # noqa: E402, F401  (these register their queries)
 from tidewright.plans import relations as _relations  # noqa: E402, F401
 from tidewright.plans import reports as _reports  # noqa: E402, F401
+from tidewright.plans import surfaces as _surfaces  # noqa: E402, F401
 from tidewright.plans import texts as _texts  # noqa: E402, F401
