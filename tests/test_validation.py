@@ -11,16 +11,16 @@ from tidewright.operators import validation as V
 COLUMNS = "session_id long, idx long, source string, state string, tool_name string, content string, kind string, valid boolean, target long, tool string, query string, request string, operation string, quote string, occurrence long, replacement string, permissions array<string>, extra string"
 
 
-def some_turns(n=1500):
+def some_turns(n=3000):
     rng, rows = random.Random(5), []
     pick = rng.choice
     for i in range(n):
-        source = pick(["user", "user", "user", "tool", None])
+        source = pick(["user"] * 8 + ["tool", None])
         done = json.dumps({"status": pick(["completed", "failed"])})
-        content = pick([done, None, "not json"]) if source == "tool" else pick(["aaa b"] * 12 + ["a b a", "aa", "", None, "b"])
+        content = pick([done, None, "not json"]) if source == "tool" else pick(["aaa b"] * 30 + ["a b a", "aa", "", None, "b"])
         may = pick([["web_search", "highlight", "generate_ui", "suggest_edit"]] * 6 + [[], None])
-        idx = i % 300 + 1
-        rows.append((i // 300, idx, source, pick(["idle", "active", None]), pick(["web_search", "ui"]), content, pick(["idle", "respond", "tool", "tool", None]), pick([True] * 8 + [False, None]), pick([idx, max(1, idx - 1), idx + 2, pick(range(1, 9)), None]), pick(["web_search", "ui", "suggest_edit", "generate_ui", "odd", None]), pick(["One two", " one  TWO?", "b.", " ", None]), pick(["do it", "DO it!", "", None]), pick(["highlight"] * 4 + ["other", None]), pick(["a", "aa", "b", "", None]), pick([1, 1, 2, 3, 0, None]), pick(["a", " b ", "c", " ", None]), may, "x"))
+        idx = i % 600 + 1
+        rows.append((i // 600, idx, source, pick(["idle", "active", None]), pick(["web_search", "ui"]), content, pick(["idle", "respond", "tool", "tool", None]), pick([True] * 8 + [False, None]), pick([idx, max(1, idx - 1), idx + 2, pick(range(1, 9)), None]), pick(["web_search", "generate_ui", "odd", None] + ["ui", "suggest_edit"] * 3), pick(["One two", " one  TWO?", "b.", " ", None]), pick(["do it", "DO it!", "", None]), pick(["highlight"] * 4 + ["other", None]), pick(["a"] * 4 + ["aa", "b", "", None]), pick([1, 1, 1, 1, 2, 3, 0, None]), pick(["a", " b ", "c", " ", None]), may, "x"))
     return rows
 
 
