@@ -1,6 +1,7 @@
 """Queries of the older surfaces' action checks and of the demo policy, with their SQL.
 
 Events of a user stand in for a session's turns; their fields pick the actions.
+Conversations hold no questions, so some of their rows get a mark of one.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def t06_legacy_validation(spark, d):
     return V.validate(acted(spark, d), "legacy")
 
 
-@query(r"""WITH c AS (SELECT *, CASE WHEN turn % 3 = 0 THEN substr(text, 1, 12) END AS query, role <> 'user' AS result, trim(regexp_replace(lower(CASE WHEN turn % 3 = 0 THEN substr(text, 1, 12) END), '\s+', ' ', 'g')) AS asked FROM conversations),
+@query(r"""WITH c AS (SELECT * REPLACE (text || CASE WHEN (conv_id + turn) % 4 < 2 THEN ' ?' ELSE '' END AS text), CASE WHEN turn % 3 = 0 THEN substr(text, 1, 12) END AS query, role <> 'user' AS result, trim(regexp_replace(lower(CASE WHEN turn % 3 = 0 THEN substr(text, 1, 12) END), '\s+', ' ', 'g')) AS asked FROM conversations),
 s AS (SELECT *, sum((coalesce(query, '') <> '')::INT - result::INT) OVER w AS total FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 l AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY conv_id ORDER BY turn)) AS pending FROM s),
 b AS (SELECT conv_id, turn, NOT result AS user, text, coalesce(lag(pending) OVER w, 0) AS pending, list(asked) FILTER (coalesce(query, '') <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, trim(right(trim(regexp_replace(text, '\s+', ' ', 'g')), 240), ' ,.;:') AS search FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -98,4 +99,4 @@ def t18_demo_policy(spark, d):
     source = F.when(F.col("role") == "user", "user").otherwise("tool")
     tool_name = F.when(F.col("role") != "user", "web_search")
     asked = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12))
-    return V.demo_queries(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), source.alias("source"), tool_name.alias("tool_name"), F.col("text").alias("content"), asked.alias("query")))
+    return V.demo_queries(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), source.alias("source"), tool_name.alias("tool_name"), F.concat("text", F.when((F.col("conv_id") + F.col("turn")) % 4 < 2, " ?").otherwise("")).alias("content"), asked.alias("query")))
