@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import grammar as G
 from tidewright.functions import scalars as S
+from tidewright.functions import text as T
 from tidewright.operators import selection as K
 from tidewright.operators import sequences as W
 from tidewright.sources import files
@@ -142,3 +143,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = session.fold(spark.createDataFrame(rows, session.INPUT))
     assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out").select(session.COLUMNS).collect())) == sorted(map(repr, batch.select(session.COLUMNS).collect()))
+
+
+def test_preceded(spark):
+    d = spark.createDataFrame([(i, f"v{i}" if i % 7 else None) for i in range(0, 600, 3)], "id long, v string")
+    got = {r.id: r.before for r in K.preceded(d, "id", "v", "before").collect()}
+    ids = sorted(got)
+    assert ids == list(range(0, 600, 3))
+    assert all(got[b] == (f"v{a}" if a % 7 else None) for a, b in zip(ids[:-1], ids[1:], strict=True)) and got[0] is None
+    assert K.preceded(d.limit(0), "id", "v", "before").count() == 0
+
+
+def test_condensed(spark):
+    def cut(text, n):
+        return text if len(text) <= n else text[: n // 2] + "\n[...]\n" + text[len(text) - (n - n // 2) :]
+
+    def event(i, text):
+        return f'<stream_event index="{i}" source="user" time="t+0ms">{text}</stream_event>'
+
+    prompts, want = [], []
+    for n, size in ((0, 5), (1, 5), (3, 400), (4, 3000)):
+        past = [(event(i, f"{i}" * size), f'respond({{"for":{i}}})' if i % 2 else "idle()") for i in range(n)]
+        last = event(n, "z" * size)
+        prompts.append("".join(f"{e}\n<action>{a}</action>\n" for e, a in past) + last + "\n" + G.MARKER)
+        said = "\n".join(f"{e}\n<action>{a}</action>" for e, a in past if a != "idle()")
+        part = f"<prior_responses>\n{cut(said, 300)}\n</prior_responses>\n" if said else ""
+        want.append(part + cut(last, 600))
+    d = spark.createDataFrame(list(enumerate(prompts)), "i int, prompt string")
+    assert [r.e for r in d.select("i", T.condensed(F.col("prompt"), 900).alias("e")).orderBy("i").collect()] == want

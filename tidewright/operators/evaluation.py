@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.scalars import wilson_95
@@ -103,8 +103,7 @@ def job_status(events: DataFrame, session: str, job: str, order: str, status: Co
 
 def checkpoint_choice(reports: DataFrame, tag: str, keys: list[str], order: str) -> DataFrame:
     """The best report by several keys in turn, the earliest of equals."""
-    w = Window.orderBy(*[F.desc(k) for k in keys], order)
-    return reports.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(tag, *keys)
+    return reports.orderBy(*[F.desc(k) for k in keys], order).limit(1).select(tag, *keys)
 
 
 def judged(rows: DataFrame, judgments: DataFrame, id: str, verdict: str) -> DataFrame:

@@ -116,6 +116,13 @@ def numbered(df: DataFrame, order: str, name: str, buckets: int = 64, sample: in
     return dealt.withColumn(name, (F.row_number().over(Window.partitionBy("_b").orderBy(order)) + start).cast("long")).drop("_b")
 
 
+def preceded(df: DataFrame, order: str, column: str, name: str) -> DataFrame:
+    """``name``: ``column`` of the row before by ``order``, null for the first; places come from ``numbered``, so no task orders all rows."""
+    at = numbered(df, order, "_at")
+    before = at.select((F.col("_at") + 1).alias("_at"), F.col(column).alias(name))
+    return at.join(before, "_at", "left").drop("_at")
+
+
 def shards(df: DataFrame, id: str, line: Column, least: int, most_bytes: int) -> DataFrame:
     """``shard`` (1-based) and ``of``: equal contiguous slices by id, as few as fit the byte cap, ``least`` at least.
 

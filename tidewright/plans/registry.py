@@ -308,11 +308,13 @@ def a17_wilson_rollup(spark, d):
     return E.rollup(rows, ["lang", "source"], F.col("quality") == 1)
 
 
-@query()
+@query(f"""WITH w AS (SELECT item_id, {SQL_WORDS_TEXT} AS g FROM benchmark), b AS (SELECT item_id, g, coalesce(lag(g) OVER (ORDER BY item_id), []) AS p FROM w),
+c AS (SELECT item_id, len(g) AS m, len(p) AS n, coalesce(list_sum(list_transform(list_distinct(g), lambda x: least(len(list_filter(g, lambda y: y = x)), len(list_filter(p, lambda y: y = x))))), 0) AS c FROM b),
+r AS (SELECT item_id, CASE WHEN n > 0 THEN c / n ELSE (m = 0)::INT END AS p, CASE WHEN m > 0 THEN c / m ELSE (n = 0)::INT END AS r FROM c)
+SELECT item_id, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM r""")
 def a19_token_overlap(spark, d):
-    b = t(spark, d, "benchmark").select("item_id", "text")
-    w = W.Window.orderBy("item_id")
-    both = b.withColumn("g", S.words(F.col("text"))).withColumn("p", F.coalesce(F.lag("g").over(w), F.array().cast("array<string>")))
+    b = t(spark, d, "benchmark").select("item_id", S.words(F.col("text")).alias("g"))
+    both = K.preceded(b, "item_id", "g", "p").withColumn("p", F.coalesce("p", F.array().cast("array<string>")))
     return E.token_overlap(both, F.col("g"), F.col("p")).select("item_id", "precision", "recall", "f1")
 
 
@@ -463,7 +465,7 @@ SQL_STOP = "[" + ", ".join(f"'{w}'" for w in S.STOPWORDS) + "]"
 s AS (SELECT item_id, list_filter(list_distinct(list_intersect({SQL_WORDS.format('text')}, {SQL_WORDS.format("coalesce(before, '')")})), lambda w: NOT list_contains({SQL_STOP}, w)) AS shared FROM p)
 SELECT item_id, len(shared) >= 2 OR len(list_filter(shared, lambda w: regexp_matches(w, '[0-9]'))) > 0 AS grounded FROM s""")
 def p31_grounded(spark, d):
-    b = t(spark, d, "benchmark").withColumn("before", F.lag("text").over(W.Window.orderBy("item_id")))
+    b = K.preceded(t(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", "before")
     return b.select("item_id", S.grounded(F.col("text"), F.coalesce("before", F.lit(""))).alias("grounded"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import grammar as G
 from tidewright.functions import text as X
-from tidewright.plans.registry import SQL_TURNS, query, t, turns
+from tidewright.plans.registry import ORACLES, SQL_TURNS, query, t, turns
 
 SQL_ANY = "regexp_matches(text, '(?i)\\b(?:{0})\\b')"
 SQL_PLACES = "list_filter(range(0, length(text)), lambda i: substr(text, (i + 1)::INT, 2) = 'an')"
@@ -105,12 +105,10 @@ def g10_condensed(spark, d):
     return G.compile_prompts(turns(spark, d)).select("session_id", "idx", X.condensed(F.col("prompt"), 2000).alias("evidence"))
 
 
-@query(f"WITH {SQL_TURNS} SELECT session_id, idx, true AS held FROM turns")
+@query(f"SELECT session_id, idx, replace(prompt, '{G.MARKER}', '{{\"tick\":' || idx || '}}' || chr(10) || '{G.MARKER}') AS prompt FROM ({ORACLES['g03_compile_prompt']})")
 def g11_annotated_prompt(spark, d):
     p = G.compile_prompts(turns(spark, d))
-    noted = X.with_note(F.col("prompt"), F.to_json(F.struct(F.col("idx").alias("tick"))))
-    held = F.endswith(noted, F.concat(F.lit('\n{"tick":'), F.col("idx").cast("string"), F.lit("}\n" + G.MARKER))) & F.startswith(noted, F.substring_index("prompt", G.MARKER, 1))
-    return p.select("session_id", "idx", held.alias("held"))
+    return p.select("session_id", "idx", X.with_note(F.col("prompt"), F.to_json(F.struct(F.col("idx").alias("tick")))).alias("prompt"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 10 END AS now_ms, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS due FROM events")
@@ -121,9 +119,9 @@ def g12_numeric_answer(spark, d):
     return t(spark, d, "events").withColumn("a", X.numeric_answer(broken)).select("event_id", "a.now_ms", "a.due")
 
 
-@query(f"WITH {SQL_TURNS} SELECT session_id, idx, true AS same FROM turns")
+@query(f"WITH {SQL_TURNS} SELECT session_id, idx, action_body AS body FROM turns")
 def c21_card_round_trip(spark, d):
     x = turns(spark, d)
     p = G.parse_action(G.completion(F.col("action_body")))
     again = G.action_body(F.col("p.verb"), **{"for": F.col("p.for"), "message": F.col("p.message")})
-    return x.withColumn("p", p).select("session_id", "idx", (F.col("p.valid") & (again == F.col("action_body"))).alias("same"))
+    return x.withColumn("p", p).select("session_id", "idx", F.when(F.col("p.valid"), again).alias("body"))
