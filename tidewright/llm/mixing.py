@@ -50,8 +50,9 @@ def chance(doc_id: Column, seed: int) -> Column:
 def rake(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, keep: float) -> DataFrame:
     """``factor`` (raked weight of a token) and ``mean`` (copies) for each cell, by aggregates and joins.
 
-    Cells stay distributed however many there are; each round is written out,
-    and only sums and the largest deviation come to the driver.
+    Cells stay distributed however many there are; each round is written out
+    and the one before deleted, and only sums and the largest deviation come to
+    the driver. The result is a table with files of known size.
     """
     spark = cells.sparkSession
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -82,7 +83,10 @@ def rake(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, ke
             break
     now = now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
     mass = now.agg(F.sum(F.col("tokens") * F.col("factor"))).first()[0] or 0
-    return now.withColumn("mean", F.col("factor") * F.lit(keep * total / mass if mass > 0 else keep)).select(*cells.columns, "factor", "mean")
+    now = now.withColumn("mean", F.col("factor") * F.lit(keep * total / mass if mass > 0 else keep)).select(*cells.columns, "factor", "mean")
+    told, _ = written(now)
+    removed(spark, path)
+    return told
 
 
 def _beside(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -110,8 +114,8 @@ def weigh(docs: DataFrame, *, targets: dict | None = None, keep: float = 0.5, to
         own = own.withColumn(name, topic_of(F.col("row.text")) if name == "topic" else F.col(f"row.{name}").cast("string"))
     own = own.withColumn("tokens", n_tokens(F.col("row.text")))
     cells = cut(own.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
-    # a table with files of known size: joined by broadcast only where that is small enough for the session's limit
-    told, _ = written(rake(cells, targets, tolerance, most_rounds, keep))
+    # joined by broadcast only where its files are small enough for the session's limit
+    told = rake(cells, targets, tolerance, most_rounds, keep)
     told = told.select(*[F.col(n).alias(f"_{n}") for n in names], "factor", "mean")
     same = F.lit(True)
     for n in names:
