@@ -195,6 +195,34 @@ def test_mixing_edges(spark):
     assert mixing.weigh(d.limit(0)).count() == 0
 
 
+def test_mixing_takes_few_jobs(spark):
+    """Rounds of joins were some 200 jobs, whose plans took the driver's memory in the pipeline."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source", "lang")
+    spark.sparkContext.setJobGroup("few jobs", "mixing")
+    try:
+        assert mixing.weigh(d).count() == d.count()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_raking_in_a_task_and_distributed_agree(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7) + ("a@b" if i % 5 == 0 else ""), None if i % 11 == 0 else f"s{i % 3}") for i in range(400)]
+    d = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 4 == 1, "fr").when(F.col("doc_id") % 4 == 2, "xx").when(F.col("doc_id") % 4 > 0, "en"))
+    targets = {"source": None, "lang": {"en": 0.6, "fr": 0.3, "unseen": 0.1}, "topic": {"contact": 0.3, "prose": 0.7}}
+
+    def told():
+        return mixing.weigh(d, targets=targets).select("row.doc_id", "tokens", "weight", "mean", "copies").toPandas().sort_values("doc_id", ignore_index=True)
+
+    task = told()
+    for name in ("MOST_CELLS", "MOST_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(mixing, name, 0)
+            spread = told()
+        assert len(task) == 400 and task[["doc_id", "tokens", "copies"]].equals(spread[["doc_id", "tokens", "copies"]])
+        assert np.allclose(task[["weight", "mean"]], spread[["weight", "mean"]], rtol=1e-9, atol=0)
+
+
 # --- tokens -------------------------------------------------------------------
 
 

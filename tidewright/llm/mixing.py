@@ -10,6 +10,10 @@ partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ TARGETS = {
 }
 #: Raking ends when no marginal's share is off its target by more than TOLERANCE of it, or after MOST_ROUNDS (targets that no weights meet).
 TOLERANCE, MOST_ROUNDS = 1e-10, 20
+#: Tables of at most so many cells and bytes of their values are raked in one task, larger ones by aggregates and joins.
+MOST_CELLS, MOST_BYTES = 50_000, 16 << 20
 
 
 def topic_of(text: Column) -> Column:
@@ -48,14 +54,64 @@ def chance(doc_id: Column, seed: int) -> Column:
 
 
 def rake(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, keep: float) -> DataFrame:
-    """``factor`` (raked weight of a token) and ``mean`` (copies) for each cell, by aggregates and joins.
+    """``factor`` (raked weight of a token) and ``mean`` (copies) for each cell, as a table with files of known size.
+
+    The rounds are the same wherever they run: a table of cells that fits a
+    task is raked there, as rounds of joins are some ten jobs each, whose plans
+    fill the driver's memory; a larger one stays distributed.
+    """
+    size = F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in targets), F.lit(0)).cast("long"))
+    whole, n, size = cells.agg(F.sum("tokens"), F.count("*"), size).first()
+    total = float(whole or 0)
+    if n <= MOST_CELLS and (size or 0) <= MOST_BYTES:
+        return written(_rake_in_task(cells, targets, tolerance, most_rounds, keep, total))[0]
+    return _rake_distributed(cells, targets, tolerance, most_rounds, keep, total)
+
+
+def _rake_in_task(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, keep: float, total: float) -> DataFrame:
+    """All cells in one task, in the order of their values, so sums don't depend on the partitioning."""
+    names = list(targets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        own = pd.concat(parts, ignore_index=True)
+        tokens = own["tokens"].to_numpy("f8")
+        sides = []
+        for name in names:
+            code, values = pd.factorize(own[name], use_na_sentinel=False)
+            held, shares = np.bincount(code, tokens), targets[name]
+            raw = np.sqrt(held) if shares is None else np.array([np.nan if pd.isna(v) else shares.get(v, np.nan) for v in values], "f8")
+            free = np.isnan(raw)
+            listed = (1 - held[free].sum() / (total or 1.0)) * raw / (raw[~free].sum() or 1.0)
+            sides.append((code, np.where(free, held / (total or 1.0), listed)))
+        w = tokens.copy()
+        for _ in range(most_rounds if total else 0):
+            off = 0.0
+            for code, share in sides:
+                held = np.bincount(code, w)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    off = max(off, np.abs(held / (share * total) - 1).max(where=held > 0, initial=0.0))
+                    w = np.where(held[code] > 0, w * share[code] * total / held[code], 0.0)
+            if off <= tolerance:
+                break
+        own["factor"] = np.divide(w, tokens, out=np.ones_like(w), where=tokens > 0)
+        mass = (tokens * own["factor"]).sum()
+        own["mean"] = own["factor"] * (keep * total / mass if mass > 0 else keep)
+        yield own
+
+    return cells.coalesce(1).sortWithinPartitions(*names).mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", factor double, mean double")
+
+
+def _rake_distributed(cells: DataFrame, targets: dict, tolerance: float, most_rounds: int, keep: float, total: float) -> DataFrame:
+    """By aggregates and joins.
 
     Cells stay distributed however many there are; each round is written out
     and the one before deleted, and only sums and the largest deviation come to
-    the driver. The result is a table with files of known size.
+    the driver.
     """
     spark = cells.sparkSession
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     for name, shares in targets.items():
         held = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("h"))
