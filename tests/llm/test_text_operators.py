@@ -288,6 +288,22 @@ def test_classes_fill_exactly():
     assert all(sum(packing.sizes(n, 1024, 64)) == n for n in range(1, 3000))
 
 
+def test_symbols_after_a_word_cost_no_call_of_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tidewright.llm.tokens import ENDS, Encoder
+
+    path = queries.tokenizer_path()
+    plain, enc, asked = Tokenizer.from_file(path), Encoder(path), []
+    for text in (f"{space}{word}{end * n} {end}" for space in ("", "a ", "\n\n") for word in ("don't", "été", "x²", "12", "A'", "中", "e\u0301") for end in ENDS for n in (1, 3)):
+        assert enc.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    monkeypatch.setattr(Encoder, "_whole", lambda self, text, whole=Encoder._whole: (asked.append(text), whole(self, text))[1])
+    words = [f"{a}{b}{c}" for a in ("thand", "Oño") for b in ("er", "ing", "sch") for c in ("$$$", "&&&", "###", "%%%")]
+    enc = Encoder(path)
+    assert enc.ids(" ".join(words)).tolist() == plain.encode(" ".join(words), add_special_tokens=False).ids
+    assert len(asked) <= 4  # each run of symbols once, not each word
+
+
 def test_token_files_round_trip(spark):
     where = tokenfiles.fresh(shared_dir(spark))
     manifest = tokenfiles.write(docs(spark, TEXTS).repartition(5), where, queries.tokenizer_path())

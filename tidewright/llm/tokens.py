@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -22,7 +23,9 @@ BLANK_PAIRS = ("  ", "\n ", " \n", "\n\n", "\t", "\r")
 #: Stands in a key for the lack of a space before the piece.
 BARE = "\x0b"
 KEPT_CHARS = 64
-MARK_SET = frozenset(MARKS)
+#: ASCII marks and symbols: a run of them after a letter or digit, at a word's end, is a pre-token of its own.
+ENDS = string.punctuation
+END_SET = frozenset(ENDS)
 
 
 #: Pieces that are one pre-token, with a space before them or without.
@@ -44,8 +47,8 @@ class Known(dict):
         self.coder, self.old = coder, old
 
     def __missing__(self, w: str) -> bytes:
-        if w[-1:] in MARK_SET:  # marks after a letter or digit are a pre-token of their own
-            stem = w.rstrip(MARKS)
+        if w[-1:] in END_SET:
+            stem = w.rstrip(ENDS)
             if stem and stem[-1].isalnum():
                 return self[stem] + self[BARE + w[len(stem) :]]
         got = self.old.get(w)
@@ -88,10 +91,12 @@ class Encoder:
 
     def word(self, w: str) -> bytes:
         """Ids of a key: a piece with a space before it, or without one where BARE stands."""
+        if w.isascii() and w.isalpha():
+            return array("I", [t.id for t in self.model.tokenize("\u0120" + w)]).tobytes()
         bare = w[:1] == BARE
         text = w[1:] if bare else " " + w
         if SINGLE.fullmatch(w, 1 if bare else 0):
-            coded = text.encode().decode("latin-1").translate(self.letters) if bare or not w.isascii() else "\u0120" + w
+            coded = text.encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
         return self._whole(text)
 
