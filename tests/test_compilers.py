@@ -119,6 +119,14 @@ def test_translation_errors(spark):
         assert list(r.e) == list(r.want), r
 
 
+def test_translation_outer_space(spark):
+    cases = [("你好\n", ["outer space"], []), ("\t你好", ["outer space"], []), ("你好\u2028", ["outer space"], []), (" 你好", ["outer space"], ["outer space"]), ("\u3000你好\u00a0", ["outer space"], ["outer space"]), ("你\n好", [], [])]
+    df = spark.createDataFrame(cases, "r string, everything array<string>, spaces array<string>")
+    got = df.select("*", X.translation_errors(F.col("r"), F.lit("Hello")).alias("e"), X.translation_errors(F.col("r"), F.lit("Hello"), space=r"\p{Zs}").alias("z"))
+    for r in got.collect():
+        assert (list(r.e), list(r.z)) == (list(r.everything), list(r.spaces)), r
+
+
 def test_numbering(spark):
     ids = [None, *[hashlib.md5(str(i).encode()).hexdigest() for i in range(500)]]
     df = spark.createDataFrame([(x,) for x in ids], "id string").repartition(7)

@@ -41,3 +41,15 @@ def test_query(spark, duck, name):
     want = duck.sql(registry.ORACLES[name])
     columns, theirs = rows(want.columns, want.fetchall())
     assert rows(got.columns, data) == (columns, theirs)
+
+
+def test_translation_errors_at_line_ends(spark, tmp_path):
+    """References that end or begin with a line end, a tab or a wide space, as the SQL takes them."""
+    texts = ["ab cd, ef gh", "ab cd ef.\ngh ij kl mn op", "\n\tab cd ef gh ij", "ab cd ef\r\n", "\u3000ab cd ef gh\u00a0", " ab cd ef gh\u2028", "\n", None]
+    items = [(i, s) for i in range(12) for s in texts]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    got = registry.QUERIES["p21_translation_errors"](spark, str(tmp_path))
+    want = con.sql(registry.ORACLES["p21_translation_errors"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())

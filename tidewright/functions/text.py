@@ -93,9 +93,13 @@ def vague_amount(text: Column) -> Column:
     return text.rlike(any_word(VAGUE_AMOUNTS))
 
 
-def translation_errors(reference: Column, source: Column, allowed: list[str] = ()) -> Column:
-    """What is wrong with a Chinese rendering of an English text, as codes; meaning is not looked at."""
-    bare, origin = F.regexp_replace(reference, r"(?U)^\s+|\s+\z", ""), F.regexp_replace(source, r"(?U)^\s+|\s+\z", "")
+def translation_errors(reference: Column, source: Column, allowed: list[str] = (), space: str = r"\s") -> Column:
+    """What is wrong with a Chinese rendering of an English text, as codes; meaning is not looked at.
+
+    ``space``: the characters taken off both ends, as a pattern of one; all white space, unless given.
+    """
+    ends = rf"(?U)^(?:{space})+|(?:{space})+\z"
+    bare, origin = F.regexp_replace(reference, ends, ""), F.regexp_replace(source, ends, "")
     latin = F.filter(F.regexp_extract_all(F.lower(bare), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin([a.lower() for a in allowed]) if allowed else F.lit(True))
     ratio = F.length(bare) / F.nullif(F.length(origin), F.lit(0))
     low, high = LENGTH_RATIO
